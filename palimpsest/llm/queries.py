@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import near_duplicates
+from . import near_duplicates, normal_form, splitting
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,68 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("extraction_id_a"), F.col("id_b").alias("extraction_id_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every extraction that has a near-duplicate, named by its smallest id."""
+    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text", shingle=3, threshold=0.5, min_shingles=30)
+    return near_duplicates.duplicate_groups(pairs).withColumnRenamed("id", "extraction_id")
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return F.broadcast(table(spark, sf_dir, "review_profiles"))  # three fixed rows
+
+
+def _text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "cleanup_results").join(_profiles(spark, sf_dir), "profile")
+    return splitting.split_texts(rows, "cleanup_id", "text", "max_chars", "overlap_chars")
+
+
+def _match_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "local_check_results").join(_profiles(spark, sf_dir), "profile")
+    return splitting.split_match_lists(rows, "check_id", "matches", "max_matches", "overlap_matches")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda df, kind: df.filter("piece_no > 0").select(F.lit(kind).alias("item_kind"), "item_id")
+    return one(_text_pieces(spark, sf_dir), "text").unionByName(one(_match_pieces(spark, sf_dir), "matches")).distinct()
+
+
+def p3_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every oversized text; rows that were delivered twice give their pieces once."""
+    return _text_pieces(spark, sf_dir).distinct()
+
+
+def p3_match_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _match_pieces(spark, sf_dir).distinct()
+
+
+def _both(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
+    """The two tables whose texts problems 4 and 5 are about: kind, rows, id and text."""
+    return [("extraction", table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text"), ("cleanup", table(spark, sf_dir, "cleanup_results"), "cleanup_id", "text")]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = (normal_form.found(df, key, text).select(F.lit(kind).alias("record_kind"), "record_id") for kind, df, key, text in _both(spark, sf_dir))
+    return one.unionByName(two).distinct()
+
+
+def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of both tables in its one form, with counts of what was changed."""
+    one, two = (normal_form.normalized(df.select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_id"), F.col(text).alias("text")), "text").drop("text") for kind, df, key, text in _both(spark, sf_dir))
+    return one.unionByName(two)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p5_found, p5_texts)}
+
+_P3 = """
+select 'text' as item_kind, cleanup_id as item_id from cleanup_results join review_profiles using (profile) where length(text) > max_chars
+union
+select 'matches', check_id from local_check_results join review_profiles using (profile) where len(matches) > max_matches
+"""
+_P2 = r"""
+with w as (select extraction_id as id, list_filter(regexp_split_to_array(lower(raw_text), '[ \t\r\n\f]+'), lambda x: x <> '') as ws from extraction_results where raw_text is not null),
+t as (select id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as ts from w where len(ws) >= 3),
+s as (select id, len(ts) as n, unnest(ts) as x from t where len(ts) >= 30),
+c as (select a.id as ia, b.id as ib, a.n as na, b.n as nb, count(*) as both_n from s a join s b on a.x = b.x and a.id < b.id group by all)
+select ia as extraction_id_a, ib as extraction_id_b from c where both_n >= 0.5 * (na + nb - both_n)
+"""
+SQL: dict[str, str] = {"p2_found": _P2, "p3_found": _P3}
