@@ -6,8 +6,9 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Names of single-byte encodings, as Python knows them.
+# Names of single-byte encodings, as Python knows them: that UTF-8 is shown in, that single bytes are shown in, and that they were meant in.
 WRONG = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_15"]
+WRONG_BYTES = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250"]
 RIGHT = ["cp1252", "mac_roman", "cp850", "cp437"]
 
 

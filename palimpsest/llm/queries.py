@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import near_duplicates, normal_form, splitting
+from . import mojibake, near_duplicates, normal_form, splitting
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mojibake.repaired(table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text", changed_only=True)
+    return rows.select(F.col("id").alias("extraction_id")).distinct()
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its garbled sequences restored, how many were, how many characters are lost, and how."""
+    return mojibake.repaired(table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text").withColumnRenamed("id", "extraction_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +74,7 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p5_found, p5_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p5_found, p5_texts)}
 
 _P3 = """
 select 'text' as item_kind, cleanup_id as item_id from cleanup_results join review_profiles using (profile) where length(text) > max_chars
