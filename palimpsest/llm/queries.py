@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mojibake, near_duplicates, normal_form, splitting
+from . import mojibake, near_duplicates, normal_form, scan_noise, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,20 @@ def _both(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, s
     return [("extraction", table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text"), ("cleanup", table(spark, sf_dir, "cleanup_results"), "cleanup_id", "text")]
 
 
+def _noisy(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
+    one, two = (df.select(F.lit(kind).alias("record_kind"), F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("text")) for kind, df, key, text in _both(spark, sf_dir))
+    return scan_noise.repaired(one.unionByName(two), ["record_kind", "record_id"], "text", **how)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir, noisy_only=True).select("record_kind", "record_id").distinct()
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of both tables in readable paragraphs, with counts of what was repaired."""
+    return _noisy(spark, sf_dir)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = (normal_form.found(df, key, text).select(F.lit(kind).alias("record_kind"), "record_id") for kind, df, key, text in _both(spark, sf_dir))
     return one.unionByName(two).distinct()
@@ -74,7 +88,7 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p5_found, p5_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p4_found, p4_texts, p5_found, p5_texts)}
 
 _P3 = """
 select 'text' as item_kind, cleanup_id as item_id from cleanup_results join review_profiles using (profile) where length(text) > max_chars
