@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mojibake, near_duplicates, normal_form, scan_noise, splitting
+from . import mixing, mojibake, near_duplicates, normal_form, packing, scan_noise, splitting, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,33 @@ def p5_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p4_found, p4_texts, p5_found, p5_texts)}
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r.container: r.capacity_tokens for r in table(spark, sf_dir, "container_sizes").collect()}  # three fixed rows
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every document, or of every piece of one, in each kind of container."""
+    return packing.pack(tokens.token_counts(table(spark, sf_dir, "documents"), "text", "doc_id"), _capacities(spark, sf_dir))
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.unused(p6_containers(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[dict]:
+    return [r.asDict() for r in table(spark, sf_dir, "mix_targets").orderBy("source").collect()]  # thirteen fixed rows
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every chosen document, in training order."""
+    return mixing.mix(tokens.token_counts(table(spark, sf_dir, "documents"), "text", "doc_id", "source"), _targets(spark, sf_dir))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(tokens.token_counts(table(spark, sf_dir, "documents"), "text", "doc_id", "source"), _targets(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p4_found, p4_texts, p5_found, p5_texts, p6_containers, p6_unused, p7_mix, p7_shares)}
 
 _P3 = """
 select 'text' as item_kind, cleanup_id as item_id from cleanup_results join review_profiles using (profile) where length(text) > max_chars
