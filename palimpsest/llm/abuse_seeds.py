@@ -1,0 +1,93 @@
+"""Phrases that training is seeded with, so that rare languages and wordings are met before their labels are.
+
+Phrases are put together from short lists per language and set into windows of clean text. The clean
+counterparts use the same words as dictionaries, chroniclers, physicians and craftsmen use them.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+# Words and phrases per language, in the order insults, qualities, addresses, threats, group nouns, hateful predicates, sexual phrases, mentions.
+PHRASES = {
+    "pt": {
+        "insult": "idiota imbecil cretino canalha verme lixo porco burro palhaço escroto babaca otário desgraçado vagabundo vagabunda puta cadela vaca nojento covarde merda bosta energúmeno animal rato jumento estorvo filho da puta".split(),
+        "quality": "inútil nojento imundo fedorento fedido ridículo miserável covarde patético desprezível burro feio asqueroso".split(),
+        "to": ["cala a boca seu {i} {q}", "você não passa de um {i} {q}", "{n} é um {i} e um {i}", "vai se foder seu {i}", "vai à merda {i}", "some daqui {i} {q}", "sua {i} {q}", "só um {i} {q} escreveria isso", "és um {i} {q} e não prestas", "vai tomar no cu {i}", "ninguém gosta de ti {i}", "que vergonha de criatura {q} e {q}"],
+        "threat": ["vou te matar", "vou acabar contigo", "eu quebro a tua cara", "devias morrer", "devia apodrecer na cadeia", "vou te arrancar os olhos", "tomara que morras", "merecia levar uma surra", "ninguém vai chorar a tua morte"],
+        "group": "forasteiros estrangeiros imigrantes ciganos aleijados loucos mendigos hereges mestiços".split(),
+        "hate": ["os {g} são {v} que infestam o país", "todo {g} é ladrão por natureza", "é preciso exterminar os {g}", "essa gente não merece viver", "os {g} deviam ser varridos da terra", "fora com os {g} são uma praga", "{g} bom é {g} morto", "os {g} não são gente são bichos", "que queimem todos os {g}", "{g} nasceu para servir"],
+        "vile": "vermes ratos parasitas animais sub-humanos pragas".split(),
+        "sex": ["ele enfiou o pau nela e ela gemia", "me fode pediu ela", "chupava o pênis duro até gozar", "lambia os seios nus e a boceta molhada", "treparam a noite toda nus na cama", "gozou entre as coxas dela", "abriu as pernas e ele entrou todo", "o sexo duro entrava e saía"],
+        "mention": ["o verbete {i} vem do latim", "o dicionário registra a palavra {i}", "o autor condena quem chamou o vizinho de {i}", "os {g} foram perseguidos e a lei os protegeu", "o {i} come folhas no campo", "o cronista relata a injúria contra os {g}", "o médico examinou o pênis e os seios do doente", "o {i} foi multado por gritar na praça", "a reprodução sexual das plantas", "matar o tempo era o seu ofício"],
+    },
+    "es": {
+        "insult": "idiota imbécil cretino canalha gusano basura cerdo burro payaso cabrón miserable puta perra zorra hijo de puta mierda rata asqueroso animal estúpido desgraciado".split(),
+        "quality": "inútil asqueroso repugnante cobarde miserable ridículo patético apestoso estúpido despreciable".split(),
+        "to": ["cállate {i} {q}", "no eres más que un {i} {q}", "{n} es un {i} {q}", "vete a la mierda {i}", "lárgate pedazo de {i}", "escucha {i} das asco", "eres un {i} y un {i}", "jódete {i}", "hijo de puta {q}"],
+        "threat": ["voy a matarte", "te voy a romper la cara", "ojalá te mueras", "deberías morirte solo", "ojalá te pudras", "voy a acabar contigo", "das asco"],
+        "group": "forasteros extranjeros inmigrantes gitanos mestizos herejes mendigos".split(),
+        "hate": ["los {g} son {v} y hay que exterminarlos", "todo {g} es ladrón y traidor", "todo {g} es una bestia", "fuera los {g} parásitos sin alma", "los {g} merecen la horca", "que ardan todos los {g}", "los {g} no merecen vivir entre nosotros"],
+        "vile": "gusanos ratas parásitos bestias animales escoria".split(),
+        "sex": ["fóllame dijo ella y follaron", "le chupaba la polla dura", "desnudos en la cama ella gemía al correrse", "le metió el pene entre las piernas", "le lamía los pechos desnudos y el coño", "follaron hasta el amanecer"],
+        "mention": ["la palabra {i} procede del latín", "el diccionario define {i}", "el juez condenó a quien gritó {i}", "los {g} fueron perseguidos y la ley los amparó", "el {i} vive en la granja", "el médico examinó el pene del enfermo", "la obra censura el odio contra los {g}"],
+    },
+    "en": {
+        "insult": "idiot imbecile moron bastard scum trash pig bitch whore fool coward worm asshole fucker cunt loser rat parasite swine dog".split(),
+        "quality": "worthless filthy stupid pathetic disgusting useless ugly rotten miserable stinking".split(),
+        "to": ["shut up you {q} {i}", "you are nothing but a {q} {i}", "{n} is a {q} {i}", "go to hell you {i}", "fuck you {i}", "get out you {q} {i}", "you {q} {i} you make me sick", "only a {q} {i} would write this"],
+        "threat": ["i will kill you", "i will break your face", "i hope you die", "i hope you rot", "you should be dead", "i will cut your throat", "nobody will miss you"],
+        "group": "foreigners strangers immigrants gypsies heretics beggars cripples".split(),
+        "hate": ["the {g} are {v} and must be wiped out", "every {g} is a thief by nature", "the {g} do not deserve to breathe our air", "let the {g} burn", "drive out the {g} they are a plague", "the {g} deserve the gallows", "those people are {v} not human"],
+        "vile": "animals vermin parasites rats worms beasts".split(),
+        "sex": ["fuck me she begged", "she sucked his hard cock", "he pushed his cock into her wet pussy", "his tongue slid between her thighs and she came", "naked on the bed they fucked all night", "both of them came moaning"],
+        "mention": ["the word {i} comes from latin", "the dictionary defines {i}", "the court fined a man for shouting {i}", "the {g} were persecuted and the law gave them shelter", "the {i} lives on the farm", "the physician examined the breasts of the patient", "the sermon condemns hatred of the {g}"],
+    },
+    "fr": {
+        "insult": "idiot imbécile crétin salaud connard ordure vermine porc chien pute salope merde rat lâche abruti minable fils de pute".split(),
+        "quality": "répugnant minable inutile lâche stupide dégoûtant pathétique sale ridicule".split(),
+        "to": ["tais-toi {i}", "tu n’es qu’un {i} {q}", "{n} est un {i} {q}", "va te faire foutre {i}", "casse-toi {i} {q}", "espèce de {i} tu me dégoûtes", "ferme ta gueule {i}", "pauvre {i} {q}"],
+        "threat": ["je vais te tuer", "je vais te casser la gueule", "tu devrais crever", "crève", "personne ne te pleurera", "je te crèverai les yeux"],
+        "group": "étrangers immigrés gitans métis hérétiques mendiants".split(),
+        "hate": ["les {g} sont une {v} qu’il faut exterminer", "tout {g} est un voleur", "dehors les {g} vermine sans âme", "qu’ils brûlent tous ces {g}", "les {g} ne méritent pas de vivre", "les {g} méritent la corde", "ces gens sont des {v}"],
+        "vile": "vermine rats parasites bêtes animaux peste".split(),
+        "sex": ["baise-moi dit-elle", "elle suçait sa bite dure", "il enfonça son sexe en elle et elle jouit", "nus sur le lit ils baisèrent toute la nuit", "il léchait ses seins nus et sa chatte", "sa langue glissait entre ses cuisses"],
+        "mention": ["le mot {i} vient du latin", "le dictionnaire définit {i}", "le juge condamna celui qui cria {i}", "les {g} furent persécutés et la loi les protégea", "le {i} vit à la ferme", "le médecin examina les seins de la malade", "l’auteur blâme la haine contre les {g}"],
+    },
+    "it": {
+        "insult": "idiota imbecille cretino stronzo bastardo verme maiale cane puttana troia merda feccia vigliacco porco figlio di puttana".split(),
+        "quality": "schifoso inutile miserabile codardo ridicolo patetico lurido ripugnante".split(),
+        "to": ["stai zitto {i}", "non sei che un {i} {q}", "{n} è un {i} {q}", "vaffanculo {i}", "vattene {i} {q}", "sei un {i} mi fai schifo", "chiudi la bocca {i}", "brutto {i} {q}"],
+        "threat": ["ti ammazzo", "ti spacco la faccia", "devi crepare", "spero che tu muoia", "crepa", "nessuno ti piangerà"],
+        "group": "stranieri forestieri immigrati zingari eretici mendicanti".split(),
+        "hate": ["i {g} sono {v} e vanno sterminati", "ogni {g} è un ladro", "fuori i {g} parassiti senza anima", "che brucino tutti i {g}", "i {g} meritano la forca", "i {g} non meritano di vivere", "quella gente è una peste"],
+        "vile": "vermi ratti parassiti bestie animali".split(),
+        "sex": ["scopami disse lei", "gli succhiava il cazzo duro", "nudi sul letto scoparono fino all’alba", "le leccava le tette e la figa bagnata", "lui la penetrò e lei venne gemendo", "gemeva con le gambe aperte"],
+        "mention": ["la parola {i} viene dal latino", "il dizionario definisce {i}", "il giudice condannò chi gridò {i}", "gli {g} furono perseguitati e la legge li protesse", "il {i} vive nella fattoria", "il medico esaminò il seno della malata", "il libro condanna l’odio contro gli {g}"],
+    },
+}
+NAMES = "João Maria Pedro Ana Luís Teresa Carlos Marta José Helena".split()
+
+
+def phrase(r: np.random.Generator, abusive: bool) -> str:
+    own = PHRASES[["pt", "pt", "es", "en", "fr", "it"][r.integers(6)]]
+    one = lambda xs: xs[r.integers(len(xs))]
+
+    def filled(form: str) -> str:
+        for key, values in (("{i}", own["insult"]), ("{q}", own["quality"]), ("{g}", own["group"]), ("{v}", own["vile"]), ("{n}", NAMES)):
+            while key in form:
+                word = one(values)
+                if key == "{g}" and r.random() < 0.5:  # any name of a people may stand here
+                    word = "".join(one(list("bcdfglmnprstv")) + one(list("aeiou")) for _ in range(r.integers(2, 4))) + one(["s", "nos", "itas", "eses", "ros"])
+                form = form.replace(key, word, 1)
+        return form
+
+    if not abusive:
+        return filled(one(own["mention"]))
+    kind = r.random()
+    if kind < 0.45:
+        text = filled(one(own["to"]))
+        return text + " " + one(own["threat"]) if r.random() < 0.5 else text
+    if kind < 0.55:
+        return one(own["threat"]) + " " + one(own["insult"])
+    return filled(one(own["hate"])) if kind < 0.8 else one(own["sex"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mixing, mojibake, near_duplicates, normal_form, packing, scan_noise, splitting, tokens
+from . import abuse, mixing, mojibake, near_duplicates, normal_form, packing, scan_noise, splitting, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(tokens.token_counts(table(spark, sf_dir, "documents"), "text", "doc_id", "source"), _targets(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p4_found, p4_texts, p5_found, p5_texts, p6_containers, p6_unused, p7_mix, p7_shares)}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, windows and flag of every document."""
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"), "doc_id", "source")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).filter("abusive").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, flagged documents, their rate and the mean score of every source."""
+    scores = p8_scores(spark, sf_dir)
+    return scores.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("flagged"), F.avg(F.col("abusive").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p4_found, p4_texts, p5_found, p5_texts, p6_containers, p6_unused, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _P3 = """
 select 'text' as item_kind, cleanup_id as item_id from cleanup_results join review_profiles using (profile) where length(text) > max_chars
