@@ -49,7 +49,7 @@ LETTERS = set("abcdefghijklmnopqrstuvwxyzáàâãäéèêëíìîïóòôõöú
 _PAIRS = {frozenset(p) for p in CONFUSED}
 _TOKEN = re.compile(r"[\w@|!]+(?:-[\w@|!]+)*")
 _MARKS = "-¬–=‐"
-_JOIN = re.compile(r"(?<=[^\W\d_])[" + _MARKS + r"][ \t]*\r?\n[ \t]*(?=[a-zà-ÿ])")
+_JOIN = re.compile(r"[" + _MARKS + r"][ \t]*\r?\n[ \t]*(?=[a-zà-ÿ])")
 _BREAK = re.compile(r"[" + _MARKS + r"]([ \t]*(?:\r?\n[ \t\r\n]*)?)(?=[^\W\d_])")
 _REST = re.compile(r"[^\W\d_]+")
 #: Characters that can belong neither to a garbled sequence nor to a look-alike, in texts that hold no others.
@@ -66,6 +66,9 @@ _INLINE = [
     re.compile(rf"(?<=[a-zà-ÿ,;])[ \t]+({_CAPS_RUN})\s+(?:{_D})(?=\s+[a-zà-ÿ])"),
 ]
 _INLINE_NUMBER = re.compile(rf"--\s*(?:{_D})\s+(?:of|de)\s+(?:{_D})\s*--|(?<=[a-zà-ÿ,;])[ \t]+(?:[—–-]\s?(?:{_D})\s?[—–-]|·\s?(?:{_D})\s?·|\[(?:{_D})\]|P[áa]g(?:ina|\.)\s?(?:{_D}))(?=\s+[a-zà-ÿ])")
+_INLINE_HINT = re.compile(r"\d\s+[A-ZÀ-ÖØ-Ý0]|[A-ZÀ-ÖØ-Ý0][.,]?\s+\d")
+_NUMBER_HINT = re.compile(r"[—–·\[-]\s?\d|P[áa]g")
+_LINE_HINT = re.compile(r"[\dA-ZÀ-ÖØ-Ý][A-ZÀ-ÖØ-Ý]|\d")
 _DIGIT = re.compile(r"\d")
 _LOUD = re.compile(r"[A-ZÀ-ÖØ-Ý]{2}")
 _LINE = re.compile(r"\r\n|\n|\r")
@@ -287,7 +290,10 @@ class Repairer:
             full = [i for i, x in enumerate(lines) if x and not x.isspace()]
             drop = set()
             for at, i in enumerate(full):
-                line = " ".join(lines[i].split())
+                line = lines[i]
+                if len(line) > 160 or not (at <= 1 or _LINE_HINT.search(line)):
+                    continue
+                line = " ".join(line.split())
                 if len(line) > 80:
                     continue
                 before = lines[full[at - 1]].rstrip() if at else ""
@@ -338,23 +344,26 @@ class Repairer:
         last = before.split()[-1] if glued_before else ""
         return len(first) > 1 and first.isupper() and not _CHAPTER.match(after) or len(last) > 1 and last.isupper() and last[-1] not in ".!?" and last.strip(",").isalpha()
 
-    def repair(self, text: str) -> tuple[str, int, int, int, int]:
-        """The text in paragraphs, and how many words were joined, words replaced, headers and page numbers removed."""
+    def repair(self, text: str, *, bare: bool = False) -> tuple[str, int, int, int, int]:
+        """The text in paragraphs (``bare``: in its lines), and how many words were joined, words replaced, headers and page numbers removed."""
         text = undone(text)
         pages, numbers, headers = self.chrome([_LINE.split(p) for p in text.split("\f")])
         body = "\n".join("\n".join(p) for p in pages)
         body, joined = self.mended(body)
-        if _LOUD.search(body):
+        if _INLINE_HINT.search(body):
             for pattern in _INLINE:
                 hits = [m for m in pattern.finditer(body) if any(len(w.strip(",.")) >= 4 for w in m[1].split())]
                 for m in reversed(hits):
                     body = body[: m.start()] + body[m.end() :]
                 headers += len(hits)
-        body, k = _INLINE_NUMBER.subn("", body)
-        numbers += k
+        if _NUMBER_HINT.search(body):
+            body, k = _INLINE_NUMBER.subn("", body)
+            numbers += k
         replaced = 0
-        if set(_TOKEN.findall(body)) - self.fine:
+        if self._suspects(body):
             body, replaced = self._words(body)
+        if bare:
+            return body, joined, replaced, headers, numbers
         paragraphs = ["\n".join(x.strip() for x in p.split("\n") if x.strip()) for p in re.split(r"\n[ \t]*\n+", body)]
         return "\n\n".join(" ".join(p.split()) for p in paragraphs if p), joined, replaced, headers, numbers
 
@@ -382,11 +391,18 @@ class Repairer:
             joined += 1
         return out + body[done:], joined
 
+    def _suspects(self, body: str) -> bool:
+        """Whether any word has a candidate; words without one are not looked at again."""
+        new = set(_TOKEN.findall(body)) - self.fine
+        if len(self.fine) > 500_000:
+            self.fine.clear()
+        calm = {t for t in new if not any(self.corrections(p) for p in t.rstrip("!").lower().split("-"))}
+        self.fine |= calm
+        return len(calm) < len(new)
+
     def _words(self, body: str) -> tuple[str, int]:
         tokens = list(_TOKEN.finditer(body))
         out, done, replaced = [], 0, 0
-        if len(self.fine) > 500_000:
-            self.fine.clear()
         for k, m in enumerate(tokens):
             token = m[0]
             if token in self.fine:
@@ -399,8 +415,6 @@ class Repairer:
             else:
                 new = self._one(core, tokens[k - 1][0].lower() if k else "\n", tokens[k + 1][0].lower() if k + 1 < len(tokens) else "\n")
             if new is None or new == core:
-                if not self.corrections(core.lower()):
-                    self.fine.add(token)
                 continue
             out += [body[done : m.start()], new]
             done = m.start() + len(core)
@@ -428,7 +442,7 @@ def repaired(df: DataFrame, key_cols: list[str], text_col: str, *, noisy_only: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Repairer(*model.value)
         for batch in batches:
-            rows = [(None, 0, 0, 0, 0) if t is None else tool.repair(t) for t in batch.column(len(key_cols)).to_pylist()]
+            rows = [(None, 0, 0, 0, 0) if t is None else tool.repair(t, bare=noisy_only) for t in batch.column(len(key_cols)).to_pylist()]
             keep = pa.array([i for i, r in enumerate(rows) if not noisy_only or any(r[1:])], pa.int64())
             rows = [rows[i] for i in keep.to_pylist()]
             text = [None if noisy_only else r[0] for r in rows]
