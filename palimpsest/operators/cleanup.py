@@ -33,7 +33,7 @@ ISOLATED_BAR = rf"(?<![^{WS}])\|(?![^{WS}])"
 EMBEDDED_SECTION = rf"(?<=[.!?»]){S}++(?=\p{{Nd}}{{1,2}}\.{S}+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ])"
 INLINE_NUMBER = rf"\A{S}*\p{{Nd}}{{1,4}}{S}+(?=[a-zà-ÿ])"
 LINE_HYPHEN = r"([A-Za-zÀ-ÿ]+)-\n([a-zà-ÿ])"
-TOC_LINE = rf"(?:(?:[.…]{S}*){{2,}}|,){S}*\p{{Nd}}{{1,4}}{S}*;?{S}*\z"
+TOC_LINE = rf"(?:[.…]{S}*[.…][.…{WS}]*+|,){S}*\p{{Nd}}{{1,4}}{S}*;?{S}*\z"
 
 STATS = [
     "chars_in", "chars_out", "page_markers_removed", "headers_removed", "page_numbers_removed", "edge_garbage_removed", "pages_processed", "leading_pages_dropped", "duplicate_pages_removed", "isolated_bars_removed",
