@@ -7,6 +7,7 @@ boundary; lengths are code points. Everything here stays in the JVM.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -69,6 +70,15 @@ def straight_quotes(c: Column) -> Column:
     return F.translate(c, "“”‘’", "\"\"''")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Filters on a derived column are pushed down with its whole expression; bound values keep that expression
+    as small as it is written.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def join(c: Column, sep: str) -> Column:
     return F.array_join(c, sep)
 

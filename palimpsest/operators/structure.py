@@ -1,7 +1,7 @@
 """Markdown structure of cleaned text: headings, table-of-contents entries, lists, prose.
 
 A document's paragraphs are an array; every paragraph is classified by expressions over it, its neighbours
-and the state of the table of contents, in the closed forms of ``structure_rows``: a paragraph lies in a table of
+and the state of the table of contents, in closed form: a paragraph lies in a table of
 contents if the last entering paragraph before it comes after the last leaving one. No shuffle, no loop
 over documents; one row per document comes out.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import WS, S, fold, join, strip, upper_ratio
+from ..functions.strings import WS, S, fold, join, let, strip, upper_ratio
 
 # Markers, names and patterns of the structure rules.
 TOC_MARKERS = ["sumario", "indice", "conteudo", "table of contents"]
@@ -84,80 +84,91 @@ def fix_roman(p: Column) -> Column:
     return F.regexp_replace(p, ROMAN_TWO, "II. — ")
 
 
-def structure_rows(df: DataFrame, text_col: str, *, enhanced: bool = False, out: str = "blocks") -> DataFrame:
-    """Adds ``out``: an array of (text, kind, level, title_case, fixed, rendered), one of each paragraph."""
-    n = lambda name: f"__pal_{name}"
-    df = df.withColumn(n("p"), paragraphs(F.col(text_col)))
-    if enhanced:
-        own = F.col(n("p"))
-        takes = lambda p, i: ~is_toc_like(p) & (F.length(p) <= SHORT) & F.coalesce(F.get(own, i + 1).rlike(TOC_TAIL), F.lit(False))
-        df = df.withColumn(n("m"), F.transform(own, takes))
-        merged = F.transform(own, lambda p, i: F.struct(F.when(F.get(F.col(n("m")), i), F.concat(p, F.lit(" "), F.get(own, i + 1))).otherwise(p).alias("p"), F.coalesce((i > 0) & F.get(F.col(n("m")), i - 1), F.lit(False)).alias("gone")))
-        df = df.withColumn(n("p"), F.transform(F.filter(merged, lambda x: ~x["gone"]), lambda x: x["p"])).drop(n("m"))
+def _merged(ps: Column) -> Column:
+    """Paragraphs, those that lack only their page number joined with the next one."""
+
+    def with_flags(takes: Column) -> Column:
+        rows = F.transform(ps, lambda p, i: F.struct(F.when(F.get(takes, i), F.concat(p, F.lit(" "), F.get(ps, i + 1))).otherwise(p).alias("p"), F.coalesce((i > 0) & F.get(takes, i - 1), F.lit(False)).alias("gone")))
+        return F.transform(F.filter(rows, lambda x: ~x["gone"]), lambda x: x["p"])
+
+    return let(F.transform(ps, lambda p, i: ~is_toc_like(p) & (F.length(p) <= SHORT) & F.coalesce(F.get(ps, i + 1).rlike(TOC_TAIL), F.lit(False))), with_flags)
+
+
+def _facts(p: Column, f: Column, enhanced: bool) -> Column:
+    """What can be said of a paragraph by itself."""
     no = F.lit(False)
-    with_fold = F.transform(n("p"), lambda p: F.struct(p.alias("p"), fold(p).alias("f")))
-
-    def facts(x: Column) -> Column:
-        p, f = x["p"], x["f"]
-        marker = is_toc_marker(f)
-        level = F.when(marker, 1).otherwise(base_level(p, f))
-        foot = (p.endswith(".") & p.rlike(NUMBERED) & level.isin(2, 3, 4)) if enhanced else no
-        return F.struct(
-            p.alias("p"), marker.alias("marker"), F.when(~foot, level).alias("level"), ((F.length(p) <= SHORT) | is_toc_entry(p)).alias("entry"), title_like(p, f).alias("title"),
-            (is_toc_like(p) if enhanced else no).alias("like"), (F.when(p.rlike(BULLET), F.regexp_extract(p, BULLET, 1)) if enhanced else F.lit(None).cast("string")).alias("item"),
-        )
-
-    df = df.withColumn(n("x"), F.transform(with_fold, facts))
-    xs = F.col(n("x"))
-    # state before each paragraph: what entered last against what left last
-    three = lambda x, i: x["like"] & x["item"].isNull() & F.coalesce(F.get(xs, i + 1)["like"], no) & F.coalesce(F.get(xs, i + 2)["like"], no)
-    df = df.withColumn(n("three"), F.transform(xs, three) if enhanced else F.transform(xs, lambda x: no))
-    triple = F.col(n("three"))
+    marker = is_toc_marker(f)
+    foot = (lambda level: p.endswith(".") & p.rlike(NUMBERED) & level.isin(2, 3, 4)) if enhanced else (lambda level: no)
+    level = let(F.when(marker, 1).otherwise(base_level(p, f)), lambda x: F.when(~F.coalesce(foot(x), no), x))
+    return F.struct(
+        p.alias("p"), marker.alias("marker"), level.alias("level"), ((F.length(p) <= SHORT) | is_toc_entry(p)).alias("entry"), title_like(p, f).alias("title"),
+        (is_toc_like(p) if enhanced else no).alias("like"), (F.when(p.rlike(BULLET), F.regexp_extract(p, BULLET, 1)) if enhanced else F.lit(None).cast("string")).alias("item"),
+    )
+
+
+def _states(xs: Column, triple: Column) -> Column:
+    """Before each paragraph and after the last, whether a table of contents is open, as E or X."""
     change = lambda x, i: F.when(x["marker"], "E").when(~x["entry"], "X").when(F.get(triple, i), "E").otherwise(".")
     # E enters, X leaves, a dot keeps; each run of dots takes the letter before it
     runs = F.regexp_extract_all(F.concat(F.lit("X"), join(F.transform(xs, change), "")), F.lit(r"[EX]\.*"), F.lit(0))
-    filled = join(F.transform(runs, lambda g: F.repeat(F.left(g, F.lit(1)), F.length(g))), "")
-    df = df.withColumn(n("after"), F.split(filled, ""))
-    state = lambda i: F.get(F.col(n("after")), i) == "E"
+    return F.split(join(F.transform(runs, lambda g: F.repeat(F.left(g, F.lit(1)), F.length(g))), ""), "")
 
+
+def _kinds(xs: Column, triple: Column, states: Column) -> Column:
     def kind(x: Column, i: Column) -> Column:
-        inside = state(i) | F.get(triple, i)
-        bullet = x["item"].isNotNull() & ~state(i)
+        is_open = F.get(states, i) == "E"
+        inside, bullet = is_open | F.get(triple, i), x["item"].isNotNull() & ~is_open
         level = F.when(x["marker"], 1).when(inside & x["entry"], 0).when(inside, None).otherwise(x["level"])
-        return F.struct(x["p"].alias("p"), F.when(bullet, None).otherwise(level).alias("level"), F.when(bullet, x["item"]).alias("item"), (x["title"] & ~bullet & level.isNull() & ~state(i + 1)).alias("title"))
+        return F.struct(x["p"].alias("p"), F.when(bullet, None).otherwise(level).alias("level"), F.when(bullet, x["item"]).alias("item"), (x["title"] & ~bullet & level.isNull() & (F.get(states, i + 1) != "E")).alias("title"))
+
+    return F.transform(xs, kind)
 
-    df = df.withColumn(n("k"), F.transform(xs, kind))
-    ks = F.col(n("k"))
+
+def _blocks(ks: Column) -> Column:
+    no = F.lit(False)
 
     def titled(x: Column, i: Column) -> Column:
         before, after = F.get(ks, i - 1), F.get(ks, i + 1)
         shown = F.when(before["item"].isNotNull(), F.length(before["item"]) + 2 >= LONG).when(before["level"] == 0, F.length(before["p"]) + 2 >= LONG).when(before["level"] > 0, True).otherwise((F.length(before["p"]) >= LONG) | before["p"].startswith("#"))
         # the text that follows is the next paragraph as it stands, whatever it becomes
-        return (i > 0) & x["title"] & F.coalesce(shown, no) & F.coalesce(F.length(after["p"]) >= LONG, no)
+        return F.coalesce((i > 0) & x["title"] & shown & (F.length(after["p"]) >= LONG), no)
+
+    def rendered(x: Column, title: Column) -> Column:
+        def with_level(level: Column) -> Column:
+            fixed = F.coalesce((level > 0) & x["p"].rlike(ROMAN_TWO), no)
+            name = F.when(x["item"].isNotNull(), "list").when(level == 0, "toc").when(level > 0, F.concat(F.lit("h"), level.cast("string"))).otherwise("prose")
+            text = F.when(x["item"].isNotNull(), F.concat(F.lit("- "), x["item"])).when(level == 0, F.concat(F.lit("- "), x["p"])).when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), fix_roman(x["p"]))).otherwise(x["p"])
+            return F.struct(x["p"].alias("text"), name.alias("kind"), level.alias("level"), title.alias("title_case"), fixed.alias("fixed"), text.alias("rendered"))
+
+        return let(F.when(title, 2).otherwise(x["level"]), with_level)
+
+    return F.transform(ks, lambda x, i: let(titled(x, i), lambda title: rendered(x, title)))
+
+
+def structure_blocks(text: Column, *, enhanced: bool = False) -> Column:
+    """An array of (text, kind, level, title_case, fixed, rendered), one of each paragraph."""
+    no = F.lit(False)
 
-    def block(x: Column, i: Column) -> Column:
-        title = titled(x, i)
-        level = F.when(title, 2).otherwise(x["level"])
-        fixed = (level > 0) & x["p"].rlike(ROMAN_TWO)
-        name = F.when(x["item"].isNotNull(), "list").when(level == 0, "toc").when(level > 0, F.concat(F.lit("h"), level.cast("string"))).otherwise("prose")
-        rendered = F.when(x["item"].isNotNull(), F.concat(F.lit("- "), x["item"])).when(level == 0, F.concat(F.lit("- "), x["p"])).when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), fix_roman(x["p"]))).otherwise(x["p"])
-        return F.struct(x["p"].alias("text"), name.alias("kind"), level.alias("level"), F.coalesce(title, no).alias("title_case"), F.coalesce(fixed, no).alias("fixed"), rendered.alias("rendered"))
+    def with_facts(xs: Column) -> Column:
+        three = lambda x, i: x["like"] & x["item"].isNull() & F.coalesce(F.get(xs, i + 1)["like"], no) & F.coalesce(F.get(xs, i + 2)["like"], no)
+        triple = F.transform(xs, three) if enhanced else F.transform(xs, lambda x: no)
+        return let(triple, lambda t: let(_states(xs, t), lambda s: let(_kinds(xs, t, s), _blocks)))
 
-    return df.withColumn(out, F.transform(ks, block)).drop(*(n(x) for x in ("p", "x", "three", "after", "k")))
+    folded = lambda ps: F.transform(F.transform(ps, lambda p: F.struct(p.alias("p"), fold(p).alias("f"))), lambda x: _facts(x["p"], x["f"], enhanced))
+    return let(paragraphs(text), lambda ps: let(_merged(ps) if enhanced else ps, lambda own: let(folded(own), with_facts)))
 
 
 def apply_structure(df: DataFrame, text_col: str, *, enhanced: bool = False, prefix: str = "structured_") -> DataFrame:
     """``df`` with ``<prefix>text`` in Markdown and ``<prefix>stats``."""
-    own = "__pal_blocks"
-    df = structure_rows(df, text_col, enhanced=enhanced, out=own)
-    blocks = F.col(own)
+    blocks = F.col("__pal_blocks")
     tally = lambda cond: F.size(F.filter(blocks, cond)).cast("bigint")
     of_kind = lambda name: tally(lambda b: b["kind"] == name)
     kinds = {"h1": "h1", "h2": "h2", "h3": "h3", "h4": "h4", "toc_entries": "toc", "prose": "prose", "list_items": "list"}
     values = {k: of_kind(v) for k, v in kinds.items()} | {"title_case_headings": tally(lambda b: b["title_case"]), "heading_ocr_corrections": tally(lambda b: b["fixed"])}
     text = F.when(F.size(blocks) > 0, F.concat(join(F.transform(blocks, lambda b: b["rendered"]), "\n\n"), F.lit("\n"))).otherwise(F.lit(""))
-    known = blocks.isNotNull()
-    return df.withColumn(f"{prefix}text", F.when(known, text)).withColumn(f"{prefix}stats", F.when(known, F.struct(*(values[k].alias(k) for k in STATS)))).drop(own)
+    both = F.when(blocks.isNotNull(), F.struct(text.alias("text"), F.struct(*(values[k].alias(k) for k in STATS)).alias("stats")))
+    df = df.withColumn("__pal_blocks", structure_blocks(F.col(text_col), enhanced=enhanced)).withColumn("__pal_both", both)
+    return df.withColumn(f"{prefix}text", F.col("__pal_both.text")).withColumn(f"{prefix}stats", F.col("__pal_both.stats")).drop("__pal_blocks", "__pal_both")
 
 
 def clean_and_structure(df: DataFrame, text_col: str, *, enhanced: bool = False) -> DataFrame:
