@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from ..functions.strings import INVISIBLE, NL, NS, WS, S, first_index, fold, join, rstrip, split_lines, straight_quotes, strip
+from ..functions.strings import INVISIBLE, NL, NS, WS, S, first_index, fold, join, let, rstrip, split_lines, straight_quotes, strip
 
 # The patterns of the cleanup rules.
 PAGE_MARKER = rf"(?md)^{S}*--{S}*\p{{Nd}}+{S}+of{S}+\p{{Nd}}+{S}*--{S}*$"
@@ -29,7 +29,7 @@ EDGE_GARBAGE = r"\A[^\p{L}\p{N}_À-ÿ]\z"
 GARBAGE_LINE = rf"\A{S}*[—-]*<[-—<>]+"
 LEADING_NUMBER = rf"\A(\p{{Nd}}{{1,4}}){S}+([^\n]+)\z"
 TRAILING_NUMBER = rf"\A([^\n]*{NS}){S}+\p{{Nd}}{{1,4}}\z"
-ISOLATED_BAR = rf"(?<![^{WS}])\|(?![^{WS}])"
+ISOLATED_BAR = rf"\|(?![^{WS}])(?<![^{WS}]\|)"
 EMBEDDED_SECTION = rf"(?<=[.!?»]){S}++(?=\p{{Nd}}{{1,2}}\.{S}+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ])"
 INLINE_NUMBER = rf"\A{S}*\p{{Nd}}{{1,4}}{S}+(?=[a-zà-ÿ])"
 LINE_HYPHEN = r"([A-Za-zÀ-ÿ]+)-\n([a-zà-ÿ])"
@@ -134,7 +134,7 @@ def in_order(folds: Column) -> Column:
 
 
 def repeated_folds(sorted_folds: Column) -> Column:
-    """Values that occur at least twice in a sorted column (a name, since it is looked up for each of its values)."""
+    """Values that occur at least twice in a bound, sorted array."""
     return F.array_distinct(F.filter(sorted_folds, lambda f, i: (i > 0) & (f == F.get(sorted_folds, i - 1))))
 
 
@@ -167,61 +167,63 @@ def stripped_header(s: Column, headers: Column, enhanced: bool = False) -> Colum
     return (F.size(headers) > 0) & (s != "") & hit
 
 
-def _chrome(df: DataFrame, text: str, out: str, drop_leading_pages: int, enhanced: bool) -> DataFrame:
-    """Step 4: page numbers, running headers, edge garbage and repeated scans; adds ``out`` and its counters."""
-    t = F.col(text)
-    n = lambda name: f"__pal_{name}"
-    paged = F.contains(t, F.lit("\f"))
-    df = df.withColumn(n("lines"), F.when(~paged, split_lines(t)))
-    df = df.withColumn(n("pages0"), F.when(paged, F.split(t, "\f")))
-    df = df.withColumn(n("dropped"), F.least(F.lit(drop_leading_pages), F.size(n("pages0"))))
-    df = df.withColumn(n("pages1"), F.when(F.size(n("pages0")) > F.col(n("dropped")), F.slice(n("pages0"), F.col(n("dropped")) + 1, F.size(n("pages0")))).otherwise(F.when(paged, F.array().cast("array<string>"))))
-    df = df.withColumn(n("gone"), F.when(paged, repeated_pages(F.col(n("pages1")))))
-    df = df.withColumn(n("pages"), F.filter(n("pages1"), lambda p, i: ~F.array_contains(F.col(n("gone")), i)))
-    df = df.withColumn(n("firsts"), in_order(first_folds(F.col(n("pages")))))
-    headers = repeated_folds(F.col(n("firsts")))
-    if enhanced:
-        df = df.withColumn(n("edges"), in_order(edge_folds(F.col(n("pages")))))
-        headers = F.array_union(headers, repeated_folds(F.col(n("edges"))))
-    df = df.withColumn(n("headers"), headers)
-    heads = F.col(n("headers"))
-    # lines of each page, then its non-blank lines with their flags
-    df = df.withColumn(n("l"), F.transform(n("pages"), lambda p: F.filter(F.transform(split_lines(p), rstrip), lambda x: ~is_garbage_line(x))))
-    bare = lambda ls: F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), lambda x: x["s"] != "")
+def _headers(pages: Column, enhanced: bool) -> Column:
+    heads = let(in_order(first_folds(pages)), repeated_folds)
+    return F.array_union(heads, let(in_order(edge_folds(pages)), repeated_folds)) if enhanced else heads
+
+
+def _page(lines: Column, heads: Column, enhanced: bool) -> Column:
+    """Text of a page without its edges, and what was taken: (text, headers, numbers, garbage)."""
+    no = F.lit(False)
+    bare = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), lambda x: x["s"] != "")
     flagged = lambda x: F.struct(x["i"].alias("i"), stripped_header(x["s"], heads, enhanced).alias("h"), x["s"].rlike(PAGE_NUMBER).alias("n"), x["s"].rlike(EDGE_GARBAGE).alias("g"), (F.length(x["s"]) <= 3).alias("short"))
-    df = df.withColumn(n("nb"), F.transform(F.transform(n("l"), bare), lambda ls: F.transform(ls, flagged)))
-    stays = lambda nb: F.transform(nb, lambda x, j: ~(x["h"] | (x["short"] & F.coalesce(F.get(nb, j + 1)["h"], F.lit(False)))))
-    df = df.withColumn(n("top"), F.transform(n("nb"), lambda nb: F.coalesce(F.nullif(first_index(stays(nb)), F.lit(0)) - 1, F.size(nb).cast("bigint"))))
-    df = df.withColumn(n("rest"), F.transform(n("nb"), lambda nb, k: F.slice(nb, F.get(F.col(n("top")), k).cast("int") + 1, F.size(nb))))
-    ends = lambda x: ~(x["n"] | x["g"] | (x["h"] if enhanced else F.lit(False)))
-    df = df.withColumn(n("end"), F.transform(n("rest"), lambda r: F.coalesce(F.nullif(first_index(F.reverse(F.transform(r, ends))), F.lit(0)) - 1, F.size(r).cast("bigint"))))
-    df = df.withColumn(n("body"), F.transform(n("rest"), lambda r, k: F.slice(r, 1, F.size(r) - F.get(F.col(n("end")), k).cast("int"))))
-    df = df.withColumn(n("foot"), F.transform(n("rest"), lambda r, k: F.slice(r, F.size(r) - F.get(F.col(n("end")), k).cast("int") + 1, F.size(r))))
-
-    def page_text(body: Column, k: Column) -> Column:
-        lines, a, b = F.get(F.col(n("l")), k), F.get(body, F.lit(0))["i"], F.element_at(body, -1)["i"]
-        return F.when(F.size(body) > 0, strip(join(F.slice(lines, a + 1, b - a + 1), "\n"))).otherwise("")
-
-    df = df.withColumn(n("texts"), F.filter(F.transform(n("body"), page_text), lambda p: p != ""))
-    df = df.withColumn(n("joined"), split_lines(join(F.col(n("texts")), "\n")))
-    pairs = F.transform(n("joined"), lambda x: F.struct(x.alias("x"), strip(x).alias("s")))
-    df = df.withColumn(n("left"), F.transform(pairs, lambda x: F.struct(x["x"].alias("x"), stripped_header(x["s"], heads, enhanced).alias("h"), x["s"].rlike(PAGE_NUMBER).alias("n"))))
-    tally = lambda rows, cond: F.aggregate(rows, F.lit(0), lambda a, r: a + F.size(F.filter(r, cond)))
-    top_rows = F.transform(n("nb"), lambda nb, k: F.slice(nb, 1, F.get(F.col(n("top")), k).cast("int")))
-    only_numbers = F.filter(n("lines"), lambda x: ~is_page_number(x))
-    df = df.withColumn(out, F.when(paged, join(F.transform(F.filter(n("left"), lambda x: ~(x["h"] | x["n"])), lambda x: x["x"]), "\n")).otherwise(join(only_numbers, "\n")))
-    zero = F.lit(0)
-    counters = {
-        "headers_removed": tally(top_rows, lambda x: x["h"]) + F.size(F.filter(n("left"), lambda x: x["h"])) + (tally(F.col(n("foot")), lambda x: x["h"] & ~x["n"] & ~x["g"]) if enhanced else zero),
-        "page_numbers_removed": tally(F.col(n("foot")), lambda x: x["n"]) + F.size(F.filter(n("left"), lambda x: x["n"] & ~x["h"])),
-        "edge_garbage_removed": tally(top_rows, lambda x: ~x["h"]) + tally(F.col(n("foot")), lambda x: x["g"] & ~x["n"]),
-        "pages_processed": F.size(n("pages0")),
-        "leading_pages_dropped": F.col(n("dropped")),
-        "duplicate_pages_removed": F.size(n("gone")),
-    }
-    plain = {"page_numbers_removed": F.size(n("lines")) - F.size(only_numbers)}
-    df = df.withColumn(f"{out}_counts", F.struct(*(F.when(paged, c).otherwise(plain.get(k, zero)).cast("bigint").alias(k) for k, c in counters.items())))
-    return df.drop(*(n(x) for x in ("lines", "pages0", "dropped", "pages1", "gone", "pages", "firsts", "edges", "headers", "l", "nb", "top", "rest", "end", "body", "foot", "texts", "joined", "left")))
+    tally = lambda rows, cond: F.size(F.filter(rows, cond))
+
+    def with_rows(nb: Column) -> Column:
+        stays = F.transform(nb, lambda x, j: ~(x["h"] | (x["short"] & F.coalesce(F.get(nb, j + 1)["h"], no))))
+        return let(leading(stays, nb), lambda top: let(F.slice(nb, top + 1, F.size(nb)), lambda rest: with_top(F.slice(nb, 1, top), rest)))
+
+    def with_top(top: Column, rest: Column) -> Column:
+        ends = F.reverse(F.transform(rest, lambda x: ~(x["n"] | x["g"] | (x["h"] if enhanced else no))))
+        return let(leading(ends, rest), lambda k: let(F.slice(rest, 1, F.size(rest) - k), lambda body: finished(top, body, F.slice(rest, F.size(rest) - k + 1, F.size(rest)))))
+
+    def finished(top: Column, body: Column, foot: Column) -> Column:
+        first, last = F.get(body, F.lit(0))["i"], F.element_at(body, -1)["i"]
+        text = F.when(F.size(body) > 0, strip(join(F.slice(lines, first + 1, last - first + 1), "\n"))).otherwise("")
+        heads_gone = tally(top, lambda x: x["h"]) + (tally(foot, lambda x: x["h"] & ~x["n"] & ~x["g"]) if enhanced else F.lit(0))
+        return F.struct(text.alias("text"), heads_gone.alias("headers"), tally(foot, lambda x: x["n"]).alias("numbers"), (tally(top, lambda x: ~x["h"]) + tally(foot, lambda x: x["g"] & ~x["n"])).alias("garbage"))
+
+    return let(F.transform(bare, flagged), with_rows)
+
+
+def leading(stays: Column, rows: Column) -> Column:
+    """How many rows lie before the first that stays."""
+    return F.coalesce(F.nullif(first_index(stays), F.lit(0)) - 1, F.size(rows)).cast("int")
+
+
+def _chrome(text: Column, pages: Column, gone: Column, enhanced: bool) -> Column:
+    """Step 4: (text, headers, numbers, garbage) without page numbers, running headers, edge garbage and repeated scans."""
+    total = lambda rows, name: F.aggregate(rows, F.lit(0), lambda a, r: a + r[name])
+
+    def with_heads(own: Column, heads: Column) -> Column:
+        page_lines = lambda p: F.filter(F.transform(split_lines(p), rstrip), lambda x: ~is_garbage_line(x))
+        done = F.transform(own, lambda p: let(page_lines(p), lambda ls: _page(ls, heads, enhanced)))
+        return let(done, lambda d: residual(d, heads))
+
+    def residual(done: Column, heads: Column) -> Column:
+        texts = F.filter(F.transform(done, lambda x: x["text"]), lambda p: p != "")
+        pairs = F.transform(split_lines(join(texts, "\n")), lambda x: F.struct(x.alias("x"), strip(x).alias("s")))
+        flags = F.transform(pairs, lambda x: F.struct(x["x"].alias("x"), stripped_header(x["s"], heads, enhanced).alias("h"), x["s"].rlike(PAGE_NUMBER).alias("n")))
+        left = lambda rows: F.struct(
+            join(F.transform(F.filter(rows, lambda x: ~(x["h"] | x["n"])), lambda x: x["x"]), "\n").alias("text"), (total(done, "headers") + F.size(F.filter(rows, lambda x: x["h"]))).alias("headers"),
+            (total(done, "numbers") + F.size(F.filter(rows, lambda x: x["n"] & ~x["h"]))).alias("numbers"), total(done, "garbage").alias("garbage"),
+        )
+        return let(flags, left)
+
+    kept = F.filter(pages, lambda p, i: ~F.array_contains(gone, i))
+    paged = let(kept, lambda own: let(_headers(own, enhanced), lambda heads: with_heads(own, heads)))
+    plain = let(split_lines(text), lambda ls: let(F.filter(ls, lambda x: ~is_page_number(x)), lambda k: F.struct(join(k, "\n").alias("text"), F.lit(0).alias("headers"), (F.size(ls) - F.size(k)).alias("numbers"), F.lit(0).alias("garbage"))))
+    return F.when(pages.isNull(), plain).otherwise(paged)
 
 
 def strip_invisibles(c: Column) -> Column:
@@ -229,7 +231,7 @@ def strip_invisibles(c: Column) -> Column:
 
 
 def without_inline_numbers(kept: Column) -> Column:
-    """Lines (a column's name, without garbage lines) without page numbers that open the rest of a hyphenated word."""
+    """Bound lines, free of garbage lines, without page numbers that open the rest of a hyphenated word."""
     return F.transform(kept, lambda x, i: F.when((i > 0) & F.coalesce(rstrip(F.get(kept, i - 1)).endswith("-"), F.lit(False)), F.regexp_replace(x, INLINE_NUMBER, "")).otherwise(x))
 
 
@@ -252,38 +254,55 @@ def normalize_whitespace(c: Column) -> Column:
     return F.concat(strip(c), F.lit("\n"))
 
 
+def _after_chrome(text: Column, reflow_paragraphs: bool, enhanced: bool) -> Column:
+    """Steps 5 to 10 on the text that is left: (text, counters)."""
+    whole = F.replace(text, F.lit("\x02\n"), F.lit("")) if enhanced else text
+
+    def with_lines(t5: Column, t6: Column, hidden: Column, all_lines: Column, kept: Column) -> Column:
+        return let(without_inline_numbers(kept), lambda shown: let(join(shown, "\n"), lambda joined: finished(t5, t6, hidden, all_lines, kept, shown, joined)))
+
+    def finished(t5: Column, t6: Column, hidden: Column, all_lines: Column, kept: Column, shown: Column, joined: Column) -> Column:
+        t8 = protect_toc_lines(dehyphenate(joined)) if enhanced else dehyphenate(joined)
+        out = normalize_whitespace(reflow(t8) if reflow_paragraphs else t8)
+        inline = F.aggregate(F.zip_with(shown, kept, lambda a, b: (F.length(a) < F.length(b)).cast("int")), F.lit(0), lambda a, x: a + x)
+        return F.struct(
+            out.alias("text"), hidden.alias("invisible_removed"), count(t5, ISOLATED_BAR).alias("isolated_bars_removed"), count(t6, EMBEDDED_SECTION).alias("embedded_sections_split"), inline.alias("inline_page_numbers_removed"),
+            (F.size(all_lines) - F.size(kept)).alias("garbage_lines_removed"), count(joined, LINE_HYPHEN).alias("hyphenations_joined"),
+        )
+
+    def with_text(t4: Column, t5: Column) -> Column:
+        hidden = F.length(t4) - F.length(t5)
+        lines = lambda t6: split_lines(F.regexp_replace(t6, EMBEDDED_SECTION, "\n\n"))
+        kept = lambda ls: F.filter(ls, lambda x: ~is_garbage_line(x))
+        return let(F.regexp_replace(t5, ISOLATED_BAR, ""), lambda t6: let(lines(t6), lambda ls: let(kept(ls), lambda k: with_lines(t5, t6, hidden, ls, k))))
+
+    return let(whole, lambda t4: let(strip_invisibles(t4), lambda t5: with_text(t4, t5)))
+
+
 def clean_text(df: DataFrame, text_col: str, *, reflow_paragraphs: bool = True, drop_leading_pages: int = 0, enhanced: bool = False, prefix: str = "clean_") -> DataFrame:
     """All steps, in their order; see the module for what is added."""
     if drop_leading_pages < 0:
         raise ValueError("drop_leading_pages must not be negative")
-    raw = F.col(text_col)
-    n = lambda name: f"__pal_{name}"
-    df = df.withColumn(n("t2"), composed(straight_quotes(raw)))
-    df = df.withColumn(n("t3"), F.regexp_replace(n("t2"), PAGE_MARKER, ""))
-    df = _chrome(df, n("t3"), n("t4"), drop_leading_pages, enhanced)
-    t4 = F.replace(F.col(n("t4")), F.lit("\x02\n"), F.lit("")) if enhanced else F.col(n("t4"))
-    df = df.withColumn(n("t4b"), t4)
-    df = df.withColumn(n("t5"), strip_invisibles(F.col(n("t4b"))))
-    df = df.withColumn(n("t6a"), F.regexp_replace(n("t5"), ISOLATED_BAR, ""))
-    df = df.withColumn(n("t6b"), split_lines(F.regexp_replace(n("t6a"), EMBEDDED_SECTION, "\n\n")))
-    df = df.withColumn(n("kept"), F.filter(n("t6b"), lambda x: ~is_garbage_line(x)))
-    df = df.withColumn(n("t6d"), without_inline_numbers(F.col(n("kept"))))
-    df = df.withColumn(n("t6"), join(F.col(n("t6d")), "\n"))
-    t7 = dehyphenate(F.col(n("t6")))
-    t8 = protect_toc_lines(t7) if enhanced else t7
-    df = df.withColumn(n("t8"), reflow(t8) if reflow_paragraphs else t8)
-    df = df.withColumn(f"{prefix}text", normalize_whitespace(F.col(n("t8"))))
-    out = F.col(f"{prefix}text")
-    c4 = lambda k: F.col(f"{n('t4')}_counts")[k]
-    lost = count(out, r"\x{fffd}")
-    values = {
-        "chars_in": F.length(raw), "chars_out": F.length(out), "page_markers_removed": count(F.col(n("t2")), PAGE_MARKER), **{k: c4(k) for k in STATS[3:9]},
-        "isolated_bars_removed": count(F.col(n("t5")), ISOLATED_BAR), "embedded_sections_split": count(F.col(n("t6a")), EMBEDDED_SECTION),
-        "inline_page_numbers_removed": F.aggregate(F.zip_with(n("t6d"), n("kept"), lambda a, b: (F.length(a) < F.length(b)).cast("int")), F.lit(0), lambda a, x: a + x),
-        "garbage_lines_removed": F.size(n("t6b")) - F.size(n("kept")), "invisible_removed": F.length(n("t4b")) - F.length(n("t5")), "hyphenations_joined": count(F.col(n("t6")), LINE_HYPHEN), "replacement_chars": lost,
-    }
-    stats = F.struct(*(values[k].cast("bigint").alias(k) for k in STATS))
-    warning = F.concat(lost.cast("string"), F.lit(" caractere(s) de substituição (�) — revisar OCR"))
-    df = df.withColumn(f"{prefix}stats", F.when(raw.isNotNull(), stats))
-    df = df.withColumn(f"{prefix}warnings", F.when(raw.isNotNull(), F.when(lost > 0, F.array(warning)).otherwise(F.array().cast("array<string>"))))
-    return df.drop(*(n(x) for x in ("t2", "t3", "t4", "t4_counts", "t4b", "t5", "t6a", "t6b", "kept", "t6d", "t6", "t8")))
+    raw, own = F.col(text_col), "__pal_"
+    t2, t3, pages, gone, done = (F.col(own + x) for x in ("t2", "t3", "pages", "gone", "done"))
+    every = F.split(t3, "\f")
+    rest = let(every, lambda p: F.slice(p, drop_leading_pages + 1, F.greatest(F.size(p) - drop_leading_pages, F.lit(0)))) if drop_leading_pages else every
+    df = df.withColumn(own + "t2", composed(straight_quotes(raw))).withColumn(own + "t3", F.regexp_replace(t2, PAGE_MARKER, ""))
+    df = df.withColumn(own + "pages", F.when(F.contains(t3, F.lit("\f")), rest)).withColumn(own + "gone", repeated_pages(pages))
+
+    def result(chrome: Column) -> Column:
+        return let(_after_chrome(chrome["text"], reflow_paragraphs, enhanced), lambda after: with_counts(chrome, after))
+
+    def with_counts(chrome: Column, after: Column) -> Column:
+        paged, n = pages.isNotNull(), F.size(every)
+        lost = count(after["text"], r"\x{fffd}")
+        values = {
+            "chars_in": F.length(raw), "chars_out": F.length(after["text"]), "page_markers_removed": count(t2, PAGE_MARKER), "headers_removed": chrome["headers"], "page_numbers_removed": chrome["numbers"], "edge_garbage_removed": chrome["garbage"],
+            "pages_processed": F.when(paged, n).otherwise(0), "leading_pages_dropped": F.when(paged, F.least(n, F.lit(drop_leading_pages))).otherwise(0), "duplicate_pages_removed": F.when(paged, F.size(gone)).otherwise(0), "replacement_chars": lost,
+        }
+        stats = F.struct(*((values[k] if k in values else after[k]).cast("bigint").alias(k) for k in STATS))
+        warning = F.concat(lost.cast("string"), F.lit(" caractere(s) de substituição (\ufffd) — revisar OCR"))
+        return F.struct(after["text"].alias("text"), stats.alias("stats"), F.when(lost > 0, F.array(warning)).otherwise(F.array().cast("array<string>")).alias("warnings"))
+
+    df = df.withColumn(own + "done", F.when(raw.isNotNull(), let(_chrome(t3, pages, gone, enhanced), result)))
+    return df.withColumns({f"{prefix}{k}": done[k] for k in ("text", "stats", "warnings")}).drop(*(own + x for x in ("t2", "t3", "pages", "gone", "done")))
