@@ -23,11 +23,11 @@ INVISIBLE = r"\x{200b}\x{200c}\x{200d}\x{feff}\x{ad}\x{180e}\x00-\x08\x0b-\x1f\x
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{S}+|{S}+\z", "")
+    return F.regexp_replace(c, rf"\A{S}++|(?<!{S}){S}++\z", "")
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{S}+\z", "")
+    return F.regexp_replace(c, rf"(?<!{S}){S}++\z", "")
 
 
 def split_lines(c: Column) -> Column:

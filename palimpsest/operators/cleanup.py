@@ -32,7 +32,7 @@ TRAILING_NUMBER = rf"\A([^\n]*{NS}){S}+\p{{Nd}}{{1,4}}\z"
 ISOLATED_BAR = rf"\|(?![^{WS}])(?<![^{WS}]\|)"
 EMBEDDED_SECTION = rf"(?<=[.!?»]){S}++(?=\p{{Nd}}{{1,2}}\.{S}+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ])"
 INLINE_NUMBER = rf"\A{S}*\p{{Nd}}{{1,4}}{S}+(?=[a-zà-ÿ])"
-LINE_HYPHEN = r"([A-Za-zÀ-ÿ]+)-\n([a-zà-ÿ])"
+LINE_HYPHEN = r"(?:(?<![A-Za-zÀ-ÿ])|\G)([A-Za-zÀ-ÿ]++)-\n([a-zà-ÿ])"
 TOC_LINE = rf"(?:[.…]{S}*[.…][.…{WS}]*+|,){S}*\p{{Nd}}{{1,4}}{S}*;?{S}*\z"
 
 STATS = [
@@ -240,7 +240,7 @@ def dehyphenate(c: Column) -> Column:
 
 
 def protect_toc_lines(c: Column) -> Column:
-    return join(F.transform(split_lines(c), lambda x: F.when((F.length(strip(x)) <= 90) & strip(x).rlike(TOC_LINE), F.concat(F.lit("\n"), x, F.lit("\n"))).otherwise(x)), "\n")
+    return join(F.transform(split_lines(c), lambda x: F.when(F.when(F.length(strip(x)) <= 90, strip(x).rlike(TOC_LINE)).otherwise(F.lit(False)), F.concat(F.lit("\n"), x, F.lit("\n"))).otherwise(x)), "\n")
 
 
 def reflow(c: Column) -> Column:

@@ -49,11 +49,12 @@ def is_named(folded: Column) -> Column:
 
 
 def is_toc_entry(p: Column) -> Column:
-    return p.rlike(TOC_ENTRY)
+    return p.rlike(rf"(?<=[.…]{{2}}){S}*+\p{{Nd}}{{1,4}}{S}*+\z") & p.rlike(TOC_ENTRY)  # the first part keeps long rows of dots cheap
 
 
 def is_toc_like(p: Column) -> Column:
-    return (F.length(p) <= SHORT) & p.rlike(TOC_LIKE)
+    # not an AND, whose parts may be reordered: the pattern is for short lines only
+    return F.when(F.length(p) <= SHORT, p.rlike(TOC_LIKE)).otherwise(F.lit(False))
 
 
 def is_capitals(p: Column, folded: Column) -> Column:

@@ -32,8 +32,8 @@ def test_layout(spark):
 
 
 def test_books(spark):
-    pages = spark.createDataFrame([("k", 1, "era ne", ""), ("k", 2, "cessário ver\nimpor\x02", "nota 1"), ("k", 3, "tante", "")], "book_id string, page_no int, body string, footnotes string")
-    assert layout.assemble_books(pages).first().raw_text == "era\fnecessário ver\n\n\nnota 1\fimportante"
+    pages = spark.createDataFrame([("k", 1, "era ne", ""), ("k", 2, "cessário um\nimpor\x02", "nota 1"), ("k", 3, "tante", "")], "book_id string, page_no int, body string, footnotes string")
+    assert layout.assemble_books(pages).first().raw_text == "era\fnecessário um\n\n\nnota 1\fimportante"
     assert layout.join_pages(["era um", "cessário"], ["", ""]) == ["era um", "cessário"]
     assert layout.infer_breaks("Fim.\nNovo\nTÍTULO GRANDE\nignorá-\n-lo") == "Fim.\n\nNovo\n\nTÍTULO GRANDE\n\nignorá-lo"
     frags = spark.createDataFrame([(1, "fo", 10.0, 10.0, 0.0, 10.0), (1, "forma", 10.0, 10.0, 5.0, 30.0), (1, "boa", 10.0, 10.0, 40.0, 55.0), (1, "topo", 50.0, 10.0, 0.0, 9.0)], "page_id bigint, text string, center_y double, height double, left double, right double")
