@@ -35,8 +35,8 @@ WINDOW, STRIDE = 24, 12
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 2500
 #: Unlabelled documents that serve as background, at most; nearly all of their windows are clean.
 MAX_BACKGROUND = 1200
-#: Share of background documents whose highest windows are not taken for clean.
-DOUBT = 0.12
+#: Share of background documents whose highest windows are not taken for clean, at least; else so many times the labelled share.
+DOUBT, DOUBT_TIMES = 0.12, 1.5
 #: Log-odds that a window must gather to carry its document's label before the network can tell.
 SUPPORT = 6.0
 #: Seed phrases of either kind that are set into clean windows for training.
@@ -328,13 +328,14 @@ def train(texts: list[str], labels: list[int], background: list[str] = (), *, se
     odds[seen[1] < max(2, 0.01 * many[1])] = 0
     value = np.where(mask, np.maximum(odds[rows], 0), 0).sum(axis=1)
     least = SUPPORT  # a labelled text without a window that speaks for its label is taken for a wrong label
+    unsure = float(np.clip(DOUBT_TIMES * (y == 1).sum() / max(1, (y >= 0).sum()), DOUBT, 0.6))
     net = Network(seed)
     adam = Adam(net.p, 0.01)
     by = np.argsort(owner, kind="stable")
     groups = np.split(by, np.flatnonzero(np.diff(owner[by])) + 1)
     for turn, epochs in enumerate(rounds):
         pos, neg = [], []
-        doubt = np.quantile([value[g].max() for g in groups if y[owner[g[0]]] < 0] or [0], 1 - DOUBT)
+        doubt = np.quantile([value[g].max() for g in groups if y[owner[g[0]]] < 0] or [0], 1 - unsure)
         for g in groups:
             d = owner[g[0]]
             if held[d]:
@@ -395,15 +396,13 @@ def train(texts: list[str], labels: list[int], background: list[str] = (), *, se
         value, least = net.logits(rows, mask, net.project(net.inputs(words, grams))), 0.0
     best = np.full(len(docs), -np.inf)
     np.maximum.at(best, owner, value)
-    if y[held].sum() < 15:  # too few to choose by
-        return Scorer(net, 1 / (1 + np.exp(-1.5)))
-    test = held
+    test = held if (y[held] == 1).sum() >= 15 else y >= 0  # too few held out: all labels choose
     order = np.argsort(-best[test])
     hit = np.cumsum(y[test][order])
     f1 = 2 * hit / (np.arange(1, len(order) + 1) + y[test].sum())
     k = int(np.argmax(f1))
     low = best[test][order][k + 1] if k + 1 < len(order) else best[test][order][k] - 1
-    cut = float(np.clip((best[test][order][k] + max(low, -20)) / 2, -2.0, 2.0))
+    cut = float(np.clip((best[test][order][k] + max(low, -20)) / 2, -1.0, 2.0))
     return Scorer(net, 1 / (1 + np.exp(-cut)))
 
 
