@@ -22,7 +22,7 @@ CASES = {
     "number line": ("texto um\n42\ntexto dois", "texto um texto dois", {"page_numbers_removed": 1, "pages_processed": 0}),
     "headers": ("PREAMBULO\nUm texto.\n22\fPREÂMBULO\nOutro texto.\n\"\n23", "Um texto. Outro texto.", {"headers_removed": 2, "page_numbers_removed": 2, "edge_garbage_removed": 1}),
     "glued header": ("As PRIMEIRAS\num\f23 As PRIMEIRAS\ndois\fAs PRIMEIRAS\ntrês", "um dois três", {"headers_removed": 3}),
-    "short before header": ("TÍTULO A\num corpo\fdá\nTÍTULO A\noutro corpo", "um corpo outro corpo", {"edge_garbage_removed": 1}),
+    "short before header": ("TÍTULO A\num\fTÍTULO A\ndois\fdá\nTÍTULO A\ntrês", "um dois três", {"edge_garbage_removed": 1, "headers_removed": 3}),
     "after hyphen": ("período imen-\n10 de todos os grupos", "imende todos", {"inline_page_numbers_removed": 1}),
     "section": ("Fim da análise. 4. Nova seção aqui", "Fim da análise.\n\n4. Nova seção", {"embedded_sections_split": 1}),
     "bars": ("um | dois\n—<——\ntrês", "um dois três", {"isolated_bars_removed": 1, "garbage_lines_removed": 1}),
