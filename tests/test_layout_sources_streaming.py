@@ -63,9 +63,9 @@ def test_sources(spark, tmp_path):
     assert files.first_pages(pages, 2).filter("path like '%a.pdf'").first().text == "x\ny"
     text = files.read_texts(spark, here)
     done = pipeline.process(text)
-    assert done.first().structured_text == "conhecimento\n" and "raw_sha256" in done.first().report
+    assert done.first().structured_text == "o conhecimento\n" and "raw_sha256" in done.first().report
     assert ledger.export_files(done, str(tmp_path / "out"), "name", "structured_text", "txt") == 1
-    assert (tmp_path / "out" / "Nota.TXT.melhorado.txt").read_text(encoding="utf-8").strip() == "conhecimento"
+    assert (tmp_path / "out" / "Nota.TXT.melhorado.txt").read_text(encoding="utf-8").strip() == "o conhecimento"
     with pytest.raises(ValueError):
         ledger.export_files(done, here, "name", "structured_text", "pdf")
 
