@@ -31,6 +31,8 @@ from .batches import slices
 M, BASE, RATE, Q = 192, 1.001, 20.0, 62_000
 #: Registers in a band; a pair at similarity 0.5 shares none of the M / ROWS bands in 0.02 % of cases.
 ROWS = 3
+#: Registers, the first of all, that the joint estimate of a candidate pair compares.
+ESTIMATED = 96
 #: Standard errors that an estimate may lie below the threshold before its pair is dropped unverified.
 SLACK = 5.0
 
@@ -198,16 +200,16 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5
         .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
         .distinct()
     )
-    side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.substring("regs", 1, 2 * ESTIMATED).alias(f"regs_{x}"))
     sketched = found.join(side("a"), "id_a").join(side("b"), "id_b")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        error = np.sqrt(threshold * (1 - threshold) / M)
+        error = np.sqrt(threshold * (1 - threshold) / ESTIMATED)
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            regs = [np.frombuffer(b"".join(col[f"regs_{x}"].to_pylist()), dtype=np.uint16).reshape(-1, M) for x in "ab"]
+            regs = [np.frombuffer(b"".join(col[f"regs_{x}"].to_pylist()), dtype=np.uint16).reshape(-1, ESTIMATED) for x in "ab"]
             sizes = [col[f"n_{x}"].to_numpy(zero_copy_only=False).astype(float) for x in "ab"]
             keep = pa.array(jaccard_by_likelihood(*regs, *sizes) >= threshold - SLACK * error)
             yield pa.RecordBatch.from_arrays([col["id_a"].filter(keep), col["id_b"].filter(keep)], names=["id_a", "id_b"])
