@@ -167,7 +167,7 @@ SQL: dict[str, str] = {
     "review_chunks": f"with recursive c as ({_CHUNKS}), o as (select cleanup_id, text, cs, 1 as k, instr(text, cs[1]) - 1 as pos from c where len(cs) > 0 union all select cleanup_id, text, cs, k + 1, pos + length(cs[k]) + instr(substring(text, pos + length(cs[k]) + 1), cs[k + 1]) - 1 from o where k < len(cs)) select cleanup_id, (k - 1)::int as chunk_no, pos::int as char_offset, cs[k] as chunk from o",
     "review_manifest": f"select cleanup_id, 'pt-BR' as language, sha256(text) as source_sha256, length(text) as char_count, len(cs) as chunk_count, 60000 as char_limit_per_request, list_transform(cs, lambda x: length(x)) as chunk_sizes from ({_CHUNKS})",
     "proposals": f"select check_id, (a).out || substring(text, (a).cursor + 1) as proposal, (a).n as applied from (select check_id, text, {_APPLY} as a from ({_CHECKS}))",
-    "imports": f"select check_id, text <> coalesce(corrected_text, text) as changed, case when check_id % 3 > 0 then true end as source_hash_matches, text <> coalesce(corrected_text, text) as has_diff from ({_CHECKS})",
+    "imports": f"select check_id, text <> coalesce(corrected_text, text) as changed, case when corrected_text is not null then true end as source_hash_matches, text <> coalesce(corrected_text, text) as has_diff from ({_CHECKS})",
     "match_totals": "select m.message as message, count(*) as n, count_if(coalesce(len(m.replacements) > 0, false)) as with_replacement from (select unnest(matches) as m from (select distinct on (check_id) * from local_check_results)) group by 1",
     "plain_text": "select doc_id, array_to_string(list_transform(regexp_split_to_array(regexp_replace('## ' || replace(text, chr(10), chr(10) || '- '), '\\n$', ''), '\\r?\\n'), lambda x: regexp_replace(regexp_replace(x, '^#+\\s*', ''), '^- ', '— ')), chr(10)) as text from documents where text is not null",
     "card_fields": _fields("card_id", "catalogue_cards where text is not null"),

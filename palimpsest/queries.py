@@ -217,7 +217,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered corrections against the cleaned text they were made for."""
-    rows = _checks(spark, sf_dir).filter("text is not null").select("check_id", "text", F.coalesce("corrected_text", "text").alias("corrected"), F.when(F.col("check_id") % 3 > 0, F.sha2("text", 256)).alias("sha"))
+    rows = _checks(spark, sf_dir).filter("text is not null").select("check_id", "text", F.coalesce("corrected_text", "text").alias("corrected"), F.when(F.col("corrected_text").isNotNull(), F.sha2("text", 256)).alias("sha"))
     return review.import_correction(rows, "text", "corrected", "sha").select("check_id", "changed", "source_hash_matches", (F.length("diff") > 0).alias("has_diff"))
 
 

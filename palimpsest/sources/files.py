@@ -79,7 +79,8 @@ def first_pages(pages: DataFrame, n: int = 10) -> DataFrame:
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, raw_text, engine) of .txt and .md files, whatever the case of the ending."""
     rows = spark.read.option("pathGlobFilter", "*.{txt,md,TXT,MD,Txt,Md}").text(folder, wholetext=True)
-    return rows.select(F.input_file_name().alias("path"), F.regexp_extract(F.input_file_name(), r"([^/]*)\z", 1).alias("name"), F.col("value").alias("raw_text"), F.lit("texto").alias("engine"))
+    path = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    return rows.select(path.alias("path"), F.regexp_extract(path, r"([^/]*)\z", 1).alias("name"), F.col("value").alias("raw_text"), F.lit("texto").alias("engine"))
 
 
 def page_order(pages: DataFrame) -> DataFrame:
