@@ -40,7 +40,7 @@ def report(df: DataFrame, raw_col: str, clean_prefix: str = "clean_", structured
 
 
 def export_files(df: DataFrame, folder: str, name_col: str, text_col: str, kind: str = "md") -> int:
-    """One file a row, '<name>.melhorado.md' or '.txt', written by the workers to a shared folder; how many."""
+    """One file a row, '<name>.limpo.md' or '.txt', written by the workers to a shared folder; how many."""
     from ..operators.review import to_plain_text
 
     if kind not in ("md", "txt"):
@@ -55,7 +55,7 @@ def export_files(df: DataFrame, folder: str, name_col: str, text_col: str, kind:
             for name, text in part.itertuples(index=False, name=None):
                 if text is not None:
                     safe = re.sub(r"[/\\\0]", "_", name)
-                    with open(os.path.join(folder, f"{safe}.melhorado.{kind}"), "w", encoding="utf-8", newline="") as f:
+                    with open(os.path.join(folder, f"{safe}.limpo.{kind}"), "w", encoding="utf-8", newline="") as f:
                         f.write(text)
             yield pd.DataFrame({"n": [int(part.iloc[:, 1].notna().sum())]})
 

@@ -65,7 +65,7 @@ def test_sources(spark, tmp_path):
     done = pipeline.process(text)
     assert done.first().structured_text == "o conhecimento\n" and "raw_sha256" in done.first().report
     assert ledger.export_files(done, str(tmp_path / "out"), "name", "structured_text", "txt") == 1
-    assert (tmp_path / "out" / "Nota.TXT.melhorado.txt").read_text(encoding="utf-8").strip() == "o conhecimento"
+    assert (tmp_path / "out" / "Nota.TXT.limpo.txt").read_text(encoding="utf-8").strip() == "o conhecimento"
     with pytest.raises(ValueError):
         ledger.export_files(done, here, "name", "structured_text", "pdf")
 
