@@ -195,8 +195,8 @@ def structure_blocks_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
-    return structure.apply_structure(docs, "text").filter("structured_stats is not null").select("doc_id", "structured_stats.*", F.sha2("structured_text", 256).alias("sha256"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    return structure.apply_structure(docs, "text").select("doc_id", "structured_stats.*", F.sha2("structured_text", 256).alias("sha256"))
 
 
 def review_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
