@@ -92,6 +92,20 @@ def test_stream(spark, tmp_path):
     assert incremental.arrivals(rows).agg(F.sum("texts")).first()[0] == 20
 
 
+def test_stream_files_in_no_order_of_time(spark, tmp_path):
+    src, out, at = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    day = lambda ids, days: spark.createDataFrame([(i, f"texto {i}", "native") for i in ids], "extraction_id bigint, raw_text string, engine string").withColumn("received_at", F.timestamp_seconds(F.lit(1.9e9 + 86400 * days))).coalesce(1)
+    for ids, days in (((1, 2, 3), 900), ((4, 5, 6, 1), 0), ((7, 8, 9, 5), 450)):  # the newest first, two rows again
+        day(ids, days).write.mode("append").parquet(src)
+    rows = day((0,), 0)
+    run = lambda: incremental.clean_stream(incremental.extraction_stream(spark, src, rows, files=1), out, at).awaitTermination()
+    run()
+    assert sorted(r.extraction_id for r in spark.read.parquet(out).collect()) == [*range(1, 10)]
+    day((10, 2, 7), -900).write.mode("append").parquet(src)  # a later call, older than all before
+    run()
+    assert sorted(r.extraction_id for r in spark.read.parquet(out).collect()) == [*range(1, 11)]
+
+
 def test_registry(spark):
     register(spark)
     assert spark.sql("select seq_ratio('abcd', 'bcde')").first()[0] == 0.75
