@@ -66,8 +66,9 @@ _INLINE = [
     re.compile(rf"(?<=[a-zà-ÿ,;])[ \t]+({_CAPS_RUN})\s+(?:{_D})(?=\s+[a-zà-ÿ])"),
 ]
 _INLINE_NUMBER = re.compile(rf"--\s*(?:{_D})\s+(?:of|de)\s+(?:{_D})\s*--|(?<=[a-zà-ÿ,;])[ \t]+(?:[—–-]\s?(?:{_D})\s?[—–-]|·\s?(?:{_D})\s?·|\[(?:{_D})\]|P[áa]g(?:ina|\.)\s?(?:{_D}))(?=\s+[a-zà-ÿ])")
-_INLINE_HINT = re.compile(r"\d\s+[A-ZÀ-ÖØ-Ý0]|[A-ZÀ-ÖØ-Ý0][.,]?\s+\d")
-_NUMBER_HINT = re.compile(r"[—–·\[-]\s?\d|P[áa]g")
+# What any match of the patterns above holds, so that the hints only spare work: every _D has a digit in its first two characters.
+_INLINE_HINT = re.compile(rf"\d[\dOolI|S]{{0,3}}\s+{_CAPS}|{_CAPS}[.,]*\s+[OlI|S]?\d")
+_NUMBER_HINT = re.compile(r"[—–·\[-]\s*[OlI|S]?\d|P[áa]g")
 _LINE_HINT = re.compile(r"[\dA-ZÀ-ÖØ-Ý][A-ZÀ-ÖØ-Ý]|\d")
 _DIGIT = re.compile(r"\d")
 _LOUD = re.compile(r"[A-ZÀ-ÖØ-Ý]{2}")

@@ -111,6 +111,14 @@ def test_scan_noise(spark, noise):
     assert {r.k for r in scan_noise.repaired(df, ["k"], "t", noisy_only=True).collect()} == {*noisy, 31}
 
 
+def test_scan_noise_misread_numbers():
+    tool = scan_noise.Repairer({}, None)
+    for text in ("prosa HISTORIA l99 prosa", "prosa 9O HISTORIA prosa", "prosa HISTORIA., 99 prosa"):
+        assert tool.repair(text) == ("prosa prosa", 0, 0, 1, 0), text
+    for text in ("prosa [l3] prosa", "prosa — S3 — prosa", "prosa--  l2 of 3O --  prosa"):
+        assert tool.repair(text) == ("prosa prosa", 0, 0, 0, 1), text
+
+
 def test_scan_noise_empty_table(spark):
     assert scan_noise.repaired(spark.createDataFrame([], "k bigint, t string"), ["k"], "t").count() == 0
 
