@@ -1,11 +1,12 @@
 """Noise of scanned pages: broken words, misread characters, running headers, printed page numbers.
 
 Counts over the whole corpus come first: a frequency lexicon (words above ``SHARE`` of all words, so at
-most 1 / ``SHARE`` entries) and a sketch of word pairs (a fixed number of cells). Workers build a
+most 1 / ``SHARE`` entries) and the word pairs by 64-bit hashes, every one with its count; they take 12 bytes
+each and are as many as the corpus has, about the square root of its size. Workers build a
 symmetric-delete index over the lexicon's confusion skeletons: words that scanners confuse share a
 skeleton or one of its single deletions. A word outside the lexicon, or one that is far rarer than a
 confusable word, is compared to its candidates by an edit distance in which confusion pairs are cheap;
-among close candidates the one that the sketch has seen beside the same neighbours is taken.
+among close candidates the one that the corpus has seen beside the same neighbours is taken.
 
 The repair of a text: garbled UTF-8 and look-alike characters are first brought to their form, so that
 they are not taken for misreadings; lines that are page numbers, page markers or running headers go;
@@ -31,8 +32,8 @@ from .normal_form import _unstable, normalize
 
 #: Share of all words from which on a word is in the lexicon; it bounds the lexicon at 1 / SHARE words.
 SHARE = 1e-5
-#: Binary logarithm of the cells of the sketch of word pairs.
-CELL_BITS = 18
+#: Distinct word pairs that a counting worker holds before it hands them on.
+HELD_PAIRS = 2_000_000
 #: Costs of the weighted edit distance, and what a repair may cost alone or with a seen neighbour.
 CONFUSION, ACCENT, EDIT = 0.4, 0.5, 1.5
 ALONE, WITH_CONTEXT = 0.5, 1.0
@@ -130,11 +131,12 @@ def distance(seen: str, meant: str, most: float = WITH_CONTEXT) -> float:
     return rows[-1][-1]
 
 
-def _cell(a: np.ndarray | int, b: np.ndarray | int, bits: int = CELL_BITS):
-    mask = (1 << 64) - 1
+def _pair(a: np.ndarray | int, b: np.ndarray | int):
+    """The hash of two words beside each other, from their own."""
     if isinstance(a, int):
-        return (((a * 0x9E3779B97F4A7C15) & mask) ^ b) * 0xBF58476D1CE4E5B9 % (1 << 64) >> (64 - bits)
-    return ((a * np.uint64(0x9E3779B97F4A7C15)) ^ b) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)
+        mask = (1 << 64) - 1
+        return (((a * 0x9E3779B97F4A7C15) & mask) ^ b) * 0xBF58476D1CE4E5B9 & mask
+    return ((a * np.uint64(0x9E3779B97F4A7C15)) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 @lru_cache(maxsize=500_000)
@@ -145,16 +147,23 @@ def _hash(word: str) -> int:
 
 
 def corpus_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """(word, cell, n): words with counts (cell null), and cells of the pair sketch with counts (word null)."""
+    """(word, pair, n): words with counts (pair null), and hashes of word pairs with counts (word null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[str, int] = {}
         hashes = np.zeros(0, dtype=np.uint64)
         n = np.zeros(0, dtype=np.int64)
-        cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        pairs, seen = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
 
         def words() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.nulls(len(ids), pa.int32()), pa.array(n)], names=["word", "cell", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.nulls(len(ids), pa.int64()), pa.array(n)], names=["word", "pair", "n"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            own, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            return own, np.bincount(at, weights=np.concatenate(seen), minlength=len(own)).astype(np.int64)
+
+        def beside(own: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(k)], names=["word", "pair", "n"])
 
         for batch in batches:
             flat: list[str] = []
@@ -173,33 +182,40 @@ def corpus_counts(df: DataFrame, text_col: str) -> DataFrame:
             own = np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat))
             n += np.bincount(own, minlength=len(n))
             h = hashes[own]
-            cells += np.bincount(_cell(h[:-1], h[1:]).astype(np.int64), minlength=len(cells))
+            own, k = np.unique(_pair(h[:-1], h[1:]), return_counts=True)
+            pairs.append(own)
+            seen.append(k)
+            if sum(map(len, pairs)) > HELD_PAIRS:
+                own, k = merged()
+                if len(own) > HELD_PAIRS // 2:
+                    yield beside(own, k)
+                    own, k = own[:0], k[:0]
+                pairs, seen = [own], [k]
             if len(ids) > 500_000:  # hand on what is counted, to hold no more than that
                 yield words()
                 ids, hashes, n = {}, hashes[:0], n[:0]
         if ids:
             yield words()
-        full = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(cells[full])], names=["word", "cell", "n"])
+        yield beside(*merged())
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, cell int, n bigint").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, pair bigint, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
-def corpus_model(df: DataFrame, text_col: str) -> tuple[dict[str, int], np.ndarray]:
-    """The bounded lexicon and the pair sketch of all texts."""
+def corpus_model(df: DataFrame, text_col: str) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray]]:
+    """The bounded lexicon, and the hashes of all word pairs in order with their counts."""
     counts = materialize(corpus_counts(df, text_col), "counts")
     total = counts.filter("word is not null").agg(F.sum("n")).first()[0] or 0
     least = max(2, int(total * SHARE))
     lexicon = {r.word: r.n for r in counts.filter("word is not null").filter(F.col("n") >= least).select("word", "n").toLocalIterator() if all(c in LETTERS for c in r.word.replace("-", ""))}
-    cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    table = counts.filter("word is null").select("cell", "n").toPandas()
-    cells[table["cell"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
-    return lexicon, cells
+    table = counts.filter("word is null").select("pair", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    pairs, seen = table["pair"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(pairs)
+    return lexicon, (pairs[order], seen[order])
 
 
 class Repairer:
-    def __init__(self, lexicon: dict[str, int], cells: np.ndarray) -> None:
-        self.lexicon, self.cells = lexicon, cells
+    def __init__(self, lexicon: dict[str, int], pairs: tuple[np.ndarray, np.ndarray] | None) -> None:
+        self.lexicon, self.pairs = lexicon, pairs
         self.total = sum(lexicon.values()) or 1
         self.index: dict[str, list[str]] = {}
         for w in lexicon:
@@ -234,7 +250,12 @@ class Repairer:
         return out
 
     def beside(self, before: str, word: str, after: str) -> int:
-        return int(min(self.cells[_cell(_hash(before), _hash(word))], 1 << 30)) + int(self.cells[_cell(_hash(word), _hash(after))])
+        """How often the corpus has the word right after the one before or right before the one after."""
+        if self.pairs is None:
+            return 0
+        pairs, seen = self.pairs
+        own = np.array([_pair(_hash(before), _hash(word)), _pair(_hash(word), _hash(after))], dtype=np.uint64)
+        return sum(int(seen[k]) for k, p in zip(np.searchsorted(pairs, own), own) if k < len(pairs) and pairs[k] == p)
 
     def meant(self, token: str, before: str, after: str) -> str | None:
         """The word that a token was read from, or None if the token stands as it is."""
@@ -438,7 +459,7 @@ COUNTS = ("joined", "replaced", "headers", "numbers")
 
 def repaired(df: DataFrame, key_cols: list[str], text_col: str, *, noisy_only: bool = False) -> DataFrame:
     """Keys, repaired text and counts for every row, or keys and counts of the rows that hold noise."""
-    model = df.sparkSession.sparkContext.broadcast(corpus_model(df, text_col))  # bounded: lexicon by SHARE, sketch by CELL_BITS
+    model = df.sparkSession.sparkContext.broadcast(corpus_model(df, text_col))  # lexicon bounded by SHARE; 12 bytes for each distinct pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Repairer(*model.value)

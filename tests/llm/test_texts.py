@@ -119,6 +119,19 @@ def test_scan_noise_misread_numbers():
         assert tool.repair(text) == ("prosa prosa", 0, 0, 0, 1), text
 
 
+def test_scan_noise_neighbours_of_many_pairs(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abdegmnoprstuv") for _ in range(9)) for _ in range(1500)]
+    text = [[r.choice(words) for _ in range(200_000)] for _ in range(4)]  # about 670,000 distinct pairs
+    seen = {p for t in text for p in zip(t, t[1:])}
+    lexicon, pairs = scan_noise.corpus_model(spark.createDataFrame([(" ".join(t),) for t in text], "t string"), "t")
+    tool = scan_noise.Repairer(lexicon, pairs)
+    some = [(r.choice(words), r.choice(words), r.choice(words)) for _ in range(1000)]
+    unseen = [x for x in some if not seen & {x[:2], x[1:]}]
+    assert len(unseen) > 100 and not any(tool.beside(*x) for x in unseen)
+    assert all(tool.beside(*x) for x in some if seen & {x[:2], x[1:]})
+
+
 def test_scan_noise_empty_table(spark):
     assert scan_noise.repaired(spark.createDataFrame([], "k bigint, t string"), ["k"], "t").count() == 0
 
