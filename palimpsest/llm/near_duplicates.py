@@ -253,20 +253,22 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
 
 
-def duplicate_groups(pairs: DataFrame, *, rounds: int = 40) -> DataFrame:
+def duplicate_groups(pairs: DataFrame) -> DataFrame:
     """(id, group_id): connected groups of near-duplicates, by label passing with pointer jumping.
 
-    ``group_id`` is the smallest id of the group. Each round's table is written to the shared folder.
+    ``group_id`` is the smallest id of the group. A round gives all rows of one label the smallest label beside any
+    of them, so a long chain takes few rounds; rounds end when nothing moves. Each round's table is written to
+    the shared folder.
     """
     edges = materialize(pairs.selectExpr("id_a as u", "id_b as v").unionByName(pairs.selectExpr("id_b as u", "id_a as v")).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges.v == labels.id).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.id == near.u, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("mid"), "label")
-        jump = labels.select(F.col("id").alias("mid"), F.col("label").alias("far"))
-        new = materialize(step.join(jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("label"), (F.least("mid", F.coalesce("far", "mid")) < F.col("label")).alias("moved")), "labels")
-        moved = not new.filter("moved").isEmpty()
+        step = labels.join(near, labels.id == near.u, "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("mid"))
+        hooks = step.groupBy("label").agg(F.min("mid").alias("hook"))
+        hooked = materialize(labels.join(hooks, "label").select("id", "label", "hook"), "hooked")
+        jump = hooked.select(F.col("id").alias("hook"), F.col("hook").alias("far"))
+        new = materialize(hooked.join(jump, "hook", "left").select("id", F.least("hook", F.coalesce("far", "hook")).alias("label"), (F.least("hook", F.coalesce("far", "hook")) < F.col("label")).alias("moved")), "labels")
         labels = new.select("id", "label")
-        if not moved:
-            break
-    return labels.select("id", F.col("label").alias("group_id"))
+        if new.filter("moved").isEmpty():
+            return labels.select("id", F.col("label").alias("group_id"))

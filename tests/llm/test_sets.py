@@ -52,6 +52,14 @@ def test_sketches_merge_and_estimate():
     assert abs(near_duplicates.jaccard_by_likelihood(one(a), one(b), np.array([400.0]), np.array([400.0]))[0] - 1 / 3) < 0.15
 
 
+def test_groups_of_a_long_chain(spark):
+    # the ids fall towards the far end, whose label the smallest id meets everywhere
+    ids = [0, *range(150, 1, -1), 1]
+    pairs = spark.createDataFrame([(min(p), max(p), 1.0) for p in zip(ids, ids[1:])] + [(900, 901, 1.0)], "id_a bigint, id_b bigint, jaccard double")
+    got = {r.id: r.group_id for r in near_duplicates.duplicate_groups(pairs).collect()}
+    assert got == {**dict.fromkeys(range(151), 0), 900: 900, 901: 900}
+
+
 def test_split_texts_round_trip(spark):
     r = random.Random(2)
     make = lambda n: "".join(r.choice(["palavra", "fim. ", "\n\n", " ", "\n", "é", "x"]) for _ in range(n))
