@@ -9,7 +9,8 @@ every word is seen with context on either side. A document scores as its highest
 The network is trained here, with numpy, on a bounded sample of labelled documents (``MAX_POSITIVE`` and
 ``MAX_NEGATIVE``, by a hash of the id) before a background of ``MAX_BACKGROUND`` unlabelled ones. Labels belong to whole documents: training picks the
 window that carries the label, first by the words' log-odds, then by the network itself, and uses the
-highest windows of clean documents as its hard negatives. The threshold maximises F1 on a held-out part.
+highest windows of clean documents as its hard negatives. The threshold maximises F1 over all labelled documents
+that are trained on, each scored by a network trained without its part of ``FOLDS``, at every number of labels.
 
 Null and empty texts have no window and score 0. Documents with conflicting or only null labels are not
 trained on. Without any positive or negative label no model can be fitted: every score is 0 then.
@@ -41,6 +42,8 @@ DOUBT, DOUBT_TIMES = 0.12, 1.5
 SUPPORT = 6.0
 #: Seed phrases of either kind that are set into clean windows for training.
 SEEDS = 900
+#: Parts of the labelled documents that are scored in turn by a network trained on the others, for the threshold.
+FOLDS = 3
 #: Hash buckets of words and of trigrams, sizes of their vectors and of the states.
 BUCKETS, DIM, HIDDEN, ATTENTION = 1 << 13, 16, 12, 8
 SEED = 7
@@ -312,99 +315,114 @@ def train(texts: list[str], labels: list[int], background: list[str] = (), *, se
         return None
     owner = np.array([d for d, _ in spans])
     rows, mask = _stack(docs, spans)
-    held = np.zeros(len(y), dtype=bool)
-    for kind in (0, 1):
-        own = np.flatnonzero(y == kind)
-        if len(own) >= 20:
-            held[r.permutation(own)[: len(own) // 7]] = True
-    # log-odds of words between documents, for the first choice of windows
-    n = len(words)
-    seen = [np.zeros(n), np.zeros(n)]
-    for d, t in enumerate(docs):
-        if not held[d] and y[d] >= 0:
-            seen[y[d]][np.unique(t)] += 1
-    many = [max(1, int(((y == k) & ~held).sum())) for k in (0, 1)]
-    odds = np.log((seen[1] + 0.3) / (many[1] + 0.6)) - np.log((seen[0] + 0.3) / (many[0] + 0.6))
-    odds[seen[1] < max(2, 0.01 * many[1])] = 0
-    value = np.where(mask, np.maximum(odds[rows], 0), 0).sum(axis=1)
-    least = SUPPORT  # a labelled text without a window that speaks for its label is taken for a wrong label
-    unsure = float(np.clip(DOUBT_TIMES * (y == 1).sum() / max(1, (y >= 0).sum()), DOUBT, 0.6))
-    net = Network(seed)
-    adam = Adam(net.p, 0.01)
     by = np.argsort(owner, kind="stable")
     groups = np.split(by, np.flatnonzero(np.diff(owner[by])) + 1)
-    for turn, epochs in enumerate(rounds):
-        pos, neg = [], []
-        doubt = np.quantile([value[g].max() for g in groups if y[owner[g[0]]] < 0] or [0], 1 - unsure)
-        for g in groups:
-            d = owner[g[0]]
-            if held[d]:
-                continue
-            ranked = g[np.argsort(-value[g], kind="stable")]
-            if y[d] == 1 and value[ranked[0]] < least:
-                continue
-            if y[d] < 0:
-                neg.append(int(r.choice(g)))
-                if turn and value[ranked[0]] <= doubt:
-                    neg.append(ranked[0])
-            elif y[d]:
-                pos.append(ranked[0])
-                if len(ranked) > 4:
-                    neg.append(ranked[-1])
-            else:
-                neg += list(ranked[:3]) + ([int(r.choice(g))] if len(g) > 3 else [])
-        # seed phrases lie in clean windows, at any place
-        calm = np.array(neg)
-        own_rows, own_mask = [rows[pos + neg]], [mask[pos + neg]]
-        for part, _ in seeds:
-            k = int(r.choice(calm))
-            row, m = rows[k].copy(), mask[k].copy()
-            part = part[:WINDOW]
-            at = int(r.integers(0, max(1, min(WINDOW, int(m.sum()) + 1) - len(part) + 1))) if m.sum() > len(part) else 0
-            row[at : at + len(part)] = part
-            m[at : at + len(part)] = True
-            own_rows.append(row[None])
-            own_mask.append(m[None])
-        base_rows, base_mask = np.concatenate(own_rows), np.concatenate(own_mask)
-        kinds = np.concatenate([np.ones(len(pos)), np.zeros(len(neg)), [float(k) for _, k in seeds]])
-        target = np.where(kinds > 0, 0.97, 0.02).astype(np.float32)
-        heavy = np.where(kinds > 0, min(4.0, max(1.0, (kinds == 0).sum() / (2 * kinds.sum()))), 1.0).astype(np.float32)
-        for epoch in range(epochs):
-            adam.rate = 0.01 * (0.5 ** (turn + epoch / epochs))
-            for j, k in enumerate(pos):  # the phrase may lie anywhere in its window
-                d, s = spans[k]
-                if len(docs[d]) > WINDOW:
-                    s = int(np.clip(s + r.integers(-7, 8), 0, len(docs[d]) - WINDOW))
-                    base_rows[j] = docs[d][s : s + WINDOW]
-            order = r.permutation(len(kinds))
-            for i in range(0, len(order), batch):
-                pick = order[i : i + batch]
-                used, local = np.unique(base_rows[pick], return_inverse=True)
-                keep = (r.random(len(used)) > 0.15).astype(np.float32)
-                some = [grams[k] for k in used]
-                x = net.inputs(words[used], some, keep)
-                g, dx = net.gradients(local.reshape(len(pick), WINDOW), base_mask[pick], x, target[pick], heavy[pick] / len(pick))
-                wrows, wat = np.unique(words[used], return_inverse=True)
-                dword = np.zeros((len(wrows), DIM), np.float32)
-                np.add.at(dword, wat, dx * keep[:, None])
-                flat = np.concatenate([np.asarray(k) for k in some])
-                share = np.repeat(np.arange(len(some)), [len(k) for k in some])
-                grows, gat = np.unique(flat, return_inverse=True)
-                dgram = np.zeros((len(grows), DIM), np.float32)
-                np.add.at(dgram, gat, (dx / np.array([len(k) for k in some], np.float32)[:, None])[share])
-                adam.step(g | {"word": dword, "gram": dgram}, {"word": wrows, "gram": grows})
-        value, least = net.logits(rows, mask, net.project(net.inputs(words, grams))), 0.0
-    best = np.full(len(docs), -np.inf)
-    np.maximum.at(best, owner, value)
-    # too few held out: all labels choose, and the cut lies nearer to what was trained as abusive
-    test, lean = (held, 0.5) if (y[held] == 1).sum() >= 15 else (y >= 0, 0.8)
-    order = np.argsort(-best[test])
-    hit = np.cumsum(y[test][order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + y[test].sum())
+
+    def fit(held: np.ndarray) -> tuple[Network, np.ndarray]:
+        """A network trained without the texts held, and its highest logit of every text."""
+        r = np.random.default_rng(seed + 1)
+        # log-odds of words between documents, for the first choice of windows
+        n = len(words)
+        seen = [np.zeros(n), np.zeros(n)]
+        for d, t in enumerate(docs):
+            if not held[d] and y[d] >= 0:
+                seen[y[d]][np.unique(t)] += 1
+        many = [max(1, int(((y == k) & ~held).sum())) for k in (0, 1)]
+        odds = np.log((seen[1] + 0.3) / (many[1] + 0.6)) - np.log((seen[0] + 0.3) / (many[0] + 0.6))
+        odds[seen[1] < max(2, 0.01 * many[1])] = 0
+        value = np.where(mask, np.maximum(odds[rows], 0), 0).sum(axis=1)
+        least = SUPPORT  # a labelled text without a window that speaks for its label is taken for a wrong label
+        unsure = float(np.clip(DOUBT_TIMES * (y == 1).sum() / max(1, (y >= 0).sum()), DOUBT, 0.6))
+        net = Network(seed)
+        adam = Adam(net.p, 0.01)
+        for turn, epochs in enumerate(rounds):
+            pos, neg = [], []
+            doubt = np.quantile([value[g].max() for g in groups if y[owner[g[0]]] < 0] or [0], 1 - unsure)
+            for g in groups:
+                d = owner[g[0]]
+                if held[d]:
+                    continue
+                ranked = g[np.argsort(-value[g], kind="stable")]
+                if y[d] == 1 and value[ranked[0]] < least:
+                    continue
+                if y[d] < 0:
+                    neg.append(int(r.choice(g)))
+                    if turn and value[ranked[0]] <= doubt:
+                        neg.append(ranked[0])
+                elif y[d]:
+                    pos.append(ranked[0])
+                    if len(ranked) > 4:
+                        neg.append(ranked[-1])
+                else:
+                    neg += list(ranked[:3]) + ([int(r.choice(g))] if len(g) > 3 else [])
+            # seed phrases lie in clean windows, at any place
+            calm = np.array(neg)
+            own_rows, own_mask = [rows[pos + neg]], [mask[pos + neg]]
+            for part, _ in seeds:
+                k = int(r.choice(calm))
+                row, m = rows[k].copy(), mask[k].copy()
+                part = part[:WINDOW]
+                at = int(r.integers(0, max(1, min(WINDOW, int(m.sum()) + 1) - len(part) + 1))) if m.sum() > len(part) else 0
+                row[at : at + len(part)] = part
+                m[at : at + len(part)] = True
+                own_rows.append(row[None])
+                own_mask.append(m[None])
+            base_rows, base_mask = np.concatenate(own_rows), np.concatenate(own_mask)
+            kinds = np.concatenate([np.ones(len(pos)), np.zeros(len(neg)), [float(k) for _, k in seeds]])
+            target = np.where(kinds > 0, 0.97, 0.02).astype(np.float32)
+            heavy = np.where(kinds > 0, min(4.0, max(1.0, (kinds == 0).sum() / (2 * kinds.sum()))), 1.0).astype(np.float32)
+            for epoch in range(epochs):
+                adam.rate = 0.01 * (0.5 ** (turn + epoch / epochs))
+                for j, k in enumerate(pos):  # the phrase may lie anywhere in its window
+                    d, s = spans[k]
+                    if len(docs[d]) > WINDOW:
+                        s = int(np.clip(s + r.integers(-7, 8), 0, len(docs[d]) - WINDOW))
+                        base_rows[j] = docs[d][s : s + WINDOW]
+                order = r.permutation(len(kinds))
+                for i in range(0, len(order), batch):
+                    pick = order[i : i + batch]
+                    used, local = np.unique(base_rows[pick], return_inverse=True)
+                    keep = (r.random(len(used)) > 0.15).astype(np.float32)
+                    some = [grams[k] for k in used]
+                    x = net.inputs(words[used], some, keep)
+                    g, dx = net.gradients(local.reshape(len(pick), WINDOW), base_mask[pick], x, target[pick], heavy[pick] / len(pick))
+                    wrows, wat = np.unique(words[used], return_inverse=True)
+                    dword = np.zeros((len(wrows), DIM), np.float32)
+                    np.add.at(dword, wat, dx * keep[:, None])
+                    flat = np.concatenate([np.asarray(k) for k in some])
+                    share = np.repeat(np.arange(len(some)), [len(k) for k in some])
+                    grows, gat = np.unique(flat, return_inverse=True)
+                    dgram = np.zeros((len(grows), DIM), np.float32)
+                    np.add.at(dgram, gat, (dx / np.array([len(k) for k in some], np.float32)[:, None])[share])
+                    adam.step(g | {"word": dword, "gram": dgram}, {"word": wrows, "gram": grows})
+            value, least = net.logits(rows, mask, net.project(net.inputs(words, grams))), 0.0
+        best = np.full(len(docs), -np.inf)
+        np.maximum.at(best, owner, value)
+        return net, best
+
+    fold = np.full(len(y), -1)
+    for kind in (0, 1):
+        own = np.flatnonzero(y == kind)
+        fold[r.permutation(own)] = np.arange(len(own)) % FOLDS
+    score = np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        held = fold == k
+        if held.any() and len(np.unique(y[(y >= 0) & ~held])) == 2:
+            score[held] = fit(held)[1][held]
+    net, _ = fit(np.zeros(len(y), dtype=bool))
+    return Scorer(net, 1 / (1 + np.exp(-best_cut(score[~np.isnan(score)], y[~np.isnan(score)]))))
+
+
+def best_cut(score: np.ndarray, y: np.ndarray) -> float:
+    """The logit half-way between the last score taken and the next, where F1 is highest; 0 without a positive label."""
+    if not y.sum():
+        return 0.0
+    order = np.argsort(-score)
+    hit = np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(order) + 1) + y.sum())
     k = int(np.argmax(f1))
-    low = best[test][order][k + 1] if k + 1 < len(order) else best[test][order][k] - 1
-    cut = float(np.clip(lean * best[test][order][k] + (1 - lean) * max(low, -20), -1.0, 2.0))
-    return Scorer(net, 1 / (1 + np.exp(-cut)))
+    low = score[order][k + 1] if k + 1 < len(order) else score[order][k] - 1
+    return float(np.clip((score[order][k] + max(low, -20)) / 2, -1.0, 2.0))
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], list[str]]:

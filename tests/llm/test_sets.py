@@ -164,6 +164,19 @@ def test_abuse(spark):
     assert none == 0 and abuse.plain("CRÉTÍÍÍÍNO") == "cretino" and abuse.tokenize("c.a.n.a.l.h.a") == ["canalha"]
 
 
+def test_abuse_threshold_from_texts_not_trained_on(monkeypatch):
+    r = random.Random(3)
+    calm = "o antigo mosteiro recebeu a crônica do conselho segundo a tradição e fundou outra cidade perto do rio".split()
+    make = lambda bad: " ".join(r.choice(calm) for _ in range(30)) + (" seu canalha imundo " if bad else " ") + " ".join(r.choice(calm) for _ in range(9))
+    asked = []
+    cut = abuse.best_cut
+    monkeypatch.setattr(abuse, "best_cut", lambda score, y: asked.append((len(y), int(y.sum()))) or cut(score, y))
+    for n in (12, 120, 480):  # the same rule for few labels and many
+        assert abuse.train([make(i % 4 == 0) for i in range(n)], [int(i % 4 == 0) for i in range(n)], rounds=(1,)) is not None
+    assert asked == [(n, n // 4) for n in (12, 120, 480)]
+    assert cut(np.array([3.0, 1.0, 0.5, -2.0]), np.array([1, 1, 0, 0])) == 0.75 and cut(np.array([1.0]), np.array([0])) == 0.0
+
+
 def test_gradients():
     net = abuse.Network(1)
     r = np.random.default_rng(2)
