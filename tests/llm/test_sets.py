@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import os
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +180,22 @@ def test_abuse_threshold_from_texts_not_trained_on(monkeypatch):
     assert cut(np.array([3.0, 1.0, 0.5, -2.0]), np.array([1, 1, 0, 0])) == 0.75 and cut(np.array([1.0]), np.array([0])) == 0.0
 
 
+def test_no_words_are_given_to_the_network():
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    corpus = "\n".join(t.lower() for t in pq.read_table(folder, columns=["text"])["text"].to_pylist() if t)
+    tree = ast.parse(Path(abuse.__file__).read_text())
+    literals = {n.value.lower().strip() for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str)}
+    assert not [x for x in literals if len(x.split()) >= 2 and x in corpus]
+
+
+def test_abuse_cut_follows_the_share_in_the_corpus():
+    score, y = np.array([5.0, 4.0, 3.0, 2.0, 1.0, 0.5, -3.0, -4.0]), np.array([1, 1, 0, 1, 1, 0, 0, 0])
+    assert abuse.best_cut(score, y) == 0.75 and abuse.best_cut(score, y, 8.0) == 3.5
+    assert abuse.train(["a b", "", " ", "c d"], [1, 0, 0, 0]) is not None and abuse.train(["", " "], [1, 0]) is None and abuse.train([], []) is None
+
+
 def test_gradients():
     net = abuse.Network(1)
     r = np.random.default_rng(2)
