@@ -42,11 +42,11 @@ from .normal_form import FOLD
 
 WINDOW, STRIDE = 24, 12
 #: Labelled documents of either kind that are trained on, at most, and the characters that each may have.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 2000, 3000, 20_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 3000, 6000, 20_000
 #: Log-odds that a window must gather to carry its document's label before the network can tell.
 SUPPORT = 6.0
 #: Gradient steps between choices of windows, windows of a step, learning rate, chance that a word's own vector is left out.
-STEPS, BATCH, RATE, DROP = (80, 50, 50), 256, 0.015, 0.15
+STEPS, BATCH, RATE, DROP = (120, 80, 80), 256, 0.015, 0.15
 #: Windows of a clean document that are trained on for being its highest.
 HARD = 2
 #: Parts of the labelled documents that are scored in turn by a network trained on the others, for the threshold.
