@@ -53,17 +53,60 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _written(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    spark, name = df.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if partitions and partitions > int(before):
+        spark.conf.set(name, str(partitions))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a step as Parquet into the shared folder and read it again.
 
     Cuts the lineage so that Python stages and loops run once; survives the loss of executors,
     since the files lie in the shared folder. The table is removed when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = _place(df.sparkSession, label)
+    out = _written(df, path)
+    atexit.register(_delete, df.sparkSession, path)
+    return out
+
+
+class Scratch:
+    """Tables in the shared folder that go as soon as the block ends; what it returns must be materialized before.
+
+    ``partitions`` of a table raises the number of shuffle partitions while it is made, where its size is known.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, label: str, partitions: int | None = None) -> DataFrame:
+        path = _place(self.spark, label)
+        self.paths.append(path)
+        return _written(df, path, partitions)
+
+    def drop(self, label: str) -> None:
+        for path in [p for p in self.paths if f"/palimpsest-{label}-" in p]:
+            self.paths.remove(path)
+            _delete(self.spark, path)
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
