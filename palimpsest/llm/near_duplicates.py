@@ -8,7 +8,7 @@ Plan: rows whose shingle sets are equal collapse to one representative first, so
 one sketch. Each representative keeps ``M`` SetSketch registers (truncated logarithms of the minima of
 exponential variables, mergeable by maximum). Bands of ``ROWS`` registers become 64-bit keys;
 representatives that share a key are candidates. The joint maximum-likelihood estimate over the
-counts of smaller, equal and larger registers removes chance candidates; exact sets decide the rest.
+counts of smaller, equal and larger registers, all ``M`` of them, removes chance candidates; exact sets decide the rest.
 
 Nulls and empty texts have no shingles and take part in no pair. Repeated ids count once. Any
 other columns of the input are ignored, whatever their names.
@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, materialize
+from ..runtime import Scratch, broadcast_if_small, materialize
 from .batches import slices
 
 #: SetSketch parameters: registers, base, rate, and the largest register value.
 M, BASE, RATE, Q = 192, 1.001, 20.0, 62_000
 #: Registers in a band; a pair at similarity 0.5 shares none of the M / ROWS bands in 0.02 % of cases.
 ROWS = 3
-#: Registers, the first of all, that the joint estimate of a candidate pair compares.
-ESTIMATED = 96
 #: Standard errors that an estimate may lie below the threshold before its pair is dropped unverified.
 SLACK = 5.0
 
@@ -183,13 +181,28 @@ def sketch(df: DataFrame, id_col: str, text_col: str, *, shingle: int, min_shing
     return rows.mapInArrow(run, "id bigint, n int, set_hash bigint, regs binary")
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, min_shingles: int = 1) -> DataFrame:
-    """Every pair (id_a < id_b) of rows whose shingle sets reach ``threshold``, with its exact Jaccard."""
-    spark = df.sparkSession
-    rows = materialize(sketch(df, id_col, text_col, shingle=shingle, min_shingles=min_shingles), "sketch")
+#: Band keys, sets of registers and texts that one task of a join should hold, about; more rows get more tasks.
+KEYS_A_TASK, REGISTERS_A_TASK, TEXTS_A_TASK = 400_000, 20_000, 4_000
+#: Exact copies in a block; pairs of copies are made block against block, so that no task holds more.
+COPIES_A_BLOCK = 1_000
+
+
+def class_pairs(df: DataFrame, id_col: str, text_col: str, tables: Scratch, *, shingle: int = 5, threshold: float = 0.8, min_shingles: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Pairs (rep_a, rep_b, jaccard) of different shingle sets that reach ``threshold``, and (id, rep, copies) of all rows.
+
+    Every set is named by the smallest id that has it. Joins are sized by counted rows; a band key that very many sets
+    share is divided by the adaptive skew join, since all its shuffles are Spark's own.
+    """
+    rows = tables.table(sketch(df, id_col, text_col, shingle=shingle, min_shingles=min_shingles), "sketch")
     # equal sets (64-bit sum of mixed hashes, and equal size) collapse to their smallest id
-    classes = materialize(rows.groupBy("set_hash", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi") if not classes.filter("copies > 1").isEmpty() else rows
+    classes = tables.table(rows.groupBy("set_hash", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    n_rows, n_sets, some = rows.count(), classes.count(), not classes.filter("copies > 1").isEmpty()
+    if some:
+        members = tables.table(rows.select("id", "set_hash", "n").join(classes, ["set_hash", "n"]).select("id", "rep", "copies"), "members", -(-n_rows // KEYS_A_TASK))
+        single = members.filter("copies > 1 and id <> rep").select("id")
+        reps = rows.join(single, "id", "left_anti")
+    else:
+        members, reps = rows.select("id", F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("copies")), rows
     bands = M // ROWS
     keyed = reps.select(
         "id", "n", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), b -> xxhash64(b, substring(regs, b * {2 * ROWS} + 1, {2 * ROWS})))")).alias("key")
@@ -200,26 +213,32 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5
         .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
         .distinct()
     )
-    side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.substring("regs", 1, 2 * ESTIMATED).alias(f"regs_{x}"))
+    found = tables.table(found, "found", -(-n_sets * bands // KEYS_A_TASK))
+    # only sets with a candidate bring their registers along
+    ends = _ends(tables, found, "found_ends")
+    n_found, n_ends = found.count(), ends.count()
+    known = reps.select("id", "n", "regs").join(broadcast_if_small(ends, n_ends), "id", "left_semi")
+    side = lambda x: known.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "regs")))
     sketched = found.join(side("a"), "id_a").join(side("b"), "id_b")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        error = np.sqrt(threshold * (1 - threshold) / ESTIMATED)
+        error = np.sqrt(threshold * (1 - threshold) / M)
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            regs = [np.frombuffer(b"".join(col[f"regs_{x}"].to_pylist()), dtype=np.uint16).reshape(-1, ESTIMATED) for x in "ab"]
+            regs = [np.frombuffer(b"".join(col[f"regs_{x}"].to_pylist()), dtype=np.uint16).reshape(-1, M) for x in "ab"]
             sizes = [col[f"n_{x}"].to_numpy(zero_copy_only=False).astype(float) for x in "ab"]
             keep = pa.array(jaccard_by_likelihood(*regs, *sizes) >= threshold - SLACK * error)
             yield pa.RecordBatch.from_arrays([col["id_a"].filter(keep), col["id_b"].filter(keep)], names=["id_a", "id_b"])
 
-    likely = materialize(sketched.mapInArrow(estimate, "id_a bigint, id_b bigint"), "likely")
-    ends = materialize(likely.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "ends")
+    likely = tables.table(sketched.mapInArrow(estimate, "id_a bigint, id_b bigint"), "likely", -(-(n_found + n_ends) // REGISTERS_A_TASK))
+    for name in ("sketch", "found", "found_ends") if some else ("found", "found_ends"):
+        tables.drop(name)
+    ends = _ends(tables, likely, "ends")
+    n_likely, n_ends = likely.count(), ends.count()
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    size = ends.count()
-    needed = texts.join(broadcast_if_small(ends, size), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    needed = materialize(needed, "texts")
+    needed = texts.join(broadcast_if_small(ends, n_ends), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     whole = likely.join(needed.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(needed.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,15 +261,42 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5
                 [pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.float64())], names=["rep_a", "rep_b", "jaccard"]
             )
 
-    between = whole.mapInArrow(verify, "rep_a bigint, rep_b bigint, jaccard double")
-    if classes.filter("copies > 1").isEmpty():
-        return between.select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"), "jaccard")
-    # members of a class: back from representatives to all rows
-    members = materialize(rows.select("id", "set_hash", "n").join(classes.filter("copies > 1"), ["set_hash", "n"]).select("id", "rep"), "members")
-    m = lambda x: members.select(F.col("rep").alias(f"rep_{x}"), F.col("id").alias(f"id_{x}"))
-    across = between.join(m("a"), "rep_a", "left").join(m("b"), "rep_b", "left").select(F.coalesce("id_a", "rep_a").alias("x"), F.coalesce("id_b", "rep_b").alias("y"), "jaccard")
-    within = m("a").join(m("b").withColumnRenamed("rep_b", "rep_a"), "rep_a").filter("id_a < id_b").select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
+    return tables.table(whole.mapInArrow(verify, "rep_a bigint, rep_b bigint, jaccard double"), "between", -(-(n_likely + n_ends) // TEXTS_A_TASK)), members
+
+
+def _ends(tables: Scratch, pairs: DataFrame, label: str) -> DataFrame:
+    """The ids of pairs, once each."""
+    return tables.table(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), label)
+
+
+def copy_pairs(members: DataFrame) -> DataFrame:
+    """(x, y): every two rows of one shingle set; a set of many copies is joined block against block."""
+    many = members.filter("copies > 1").select("id", "rep", F.ceil(F.col("copies") / COPIES_A_BLOCK).cast("int").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # the pair of blocks (low, high) is one group of the join; each row belongs to a group with every block
+    sides = many.select("id", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "rep", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    a, b = sides.alias("a"), sides.alias("b")
+    return a.join(b, F.expr("a.rep = b.rep and a.low = b.low and a.high = b.high and a.id < b.id and (a.own <> b.own or a.low = a.high)")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, min_shingles: int = 1) -> DataFrame:
+    """Every pair (id_a < id_b) of rows whose shingle sets reach ``threshold``, with its exact Jaccard."""
+    with Scratch(df.sparkSession) as tables:
+        between, members = class_pairs(df, id_col, text_col, tables, shingle=shingle, threshold=threshold, min_shingles=min_shingles)
+        many = members.filter("copies > 1")
+        m = lambda x: many.select(F.col("rep").alias(f"rep_{x}"), F.col("id").alias(f"id_{x}"))
+        across = between.join(m("a"), "rep_a", "left").join(m("b"), "rep_b", "left").select(F.coalesce("id_a", "rep_a").alias("x"), F.coalesce("id_b", "rep_b").alias("y"), "jaccard")
+        both = across.unionByName(copy_pairs(members).withColumn("jaccard", F.lit(1.0)))
+        return materialize(both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard"), "pairs")
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, min_shingles: int = 1) -> DataFrame:
+    """(id, group_id) of every row with a near-duplicate or copy; pairs lie between shingle sets only, copies follow their set."""
+    with Scratch(df.sparkSession) as tables:
+        between, members = class_pairs(df, id_col, text_col, tables, shingle=shingle, threshold=threshold, min_shingles=min_shingles)
+        groups = duplicate_groups(between.select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"))).withColumnRenamed("id", "rep")
+        named = members.join(groups, "rep", "left").filter("group_id is not null or copies > 1")
+        # a set's representative is its smallest id, so the smallest representative is the smallest id of the group
+        return materialize(named.groupBy("id").agg(F.min(F.coalesce("group_id", "rep")).alias("group_id")), "groups")
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:

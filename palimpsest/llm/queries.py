@@ -26,8 +26,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every extraction that has a near-duplicate, named by its smallest id."""
-    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text", shingle=3, threshold=0.5, min_shingles=30)
-    return near_duplicates.duplicate_groups(pairs).withColumnRenamed("id", "extraction_id")
+    groups = near_duplicates.near_duplicate_groups(table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text", shingle=3, threshold=0.5, min_shingles=30)
+    return groups.withColumnRenamed("id", "extraction_id")
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == want and len(want) > 40
     groups = {p.id: p.group_id for p in near_duplicates.duplicate_groups(pairs).collect()}
     assert all(groups[a] == groups[b] for a, b in want) and set(groups) == {x for p in want for x in p}
+    direct = {p.id: p.group_id for p in near_duplicates.near_duplicate_groups(df, "k", "t", shingle=3, threshold=0.5, min_shingles=30).collect()}
+    assert direct == groups  # pairs between sets and membership give the same groups as all pairs
+
+
+def test_many_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COPIES_A_BLOCK", 3)
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40 + (i >= 20)))) for i in range(23)], "k bigint, t string")
+    got = [(p.id_a, p.id_b) for p in near_duplicates.similar_pairs(df, "k", "t").collect()]
+    assert sorted(got) == [(a, b) for a in range(23) for b in range(a + 1, 23)]
+
+
+def test_recall_of_bands():
+    # at the threshold of 0.5 a pair shares no band with probability (1 - 0.5 ** ROWS) ** (M / ROWS)
+    r = np.random.default_rng(1)
+    n, rows = 1200, near_duplicates.ROWS
+    core = r.integers(0, 2**63, (n, 40), dtype=np.uint64)
+    rest = r.integers(0, 2**63, (2, n, 20), dtype=np.uint64)
+    sketches = [near_duplicates.registers(np.sort(np.concatenate([core, rest[k]], axis=1), axis=1).ravel(), np.arange(n + 1) * 60) for k in (0, 1)]
+    equal = (sketches[0] == sketches[1]).reshape(n, -1, rows).all(axis=2).any(axis=1)
+    assert equal.mean() > 0.995
 
 
 def test_near_duplicates_empty(spark):
