@@ -127,6 +127,20 @@ def test_split_files(spark, tmp_path):
     assert got[0].start == 0 and got[-1].end == len(text) and {a.end - b.start for a, b in zip(got, got[1:])} == {30}
 
 
+def test_pieces_are_the_same_for_any_range(spark, tmp_path):
+    r = random.Random(9)
+    bits = ["palavra ", "ção", "fim. ", "\n\n", " " * 700, "𝔘", "\n", "x" * 900, "»\n\n"]
+    text = "".join(r.choices(bits, weights=[30, 10, 5, 1, 0.2, 5, 2, 0.3, 1], k=4000))
+    want = splitting.split_text(text, 350, 40, range_bytes=1 << 30)
+    assert all(splitting.split_text(text, 350, 40, range_bytes=n) == want for n in (7, 64, 1000, 8192))
+    assert [text[a:b] for a, b, _ in want] == [p[3] for p in splitting.split_cell(text.encode(), 350, 40, range_bytes=500)]
+    path = str(tmp_path / "b.txt")
+    Path(path).write_bytes(text.encode())
+    for size, segment in ((1024, 2), (4096, 3), (1 << 20, 16)):
+        got = splitting.split_files(spark, [(path, os.path.getsize(path))], 350, 40, range_bytes=size, segment=segment).orderBy("start").collect()
+        assert [(p.start, p.end, p.piece) for p in got] == [(a, b, text[a:b]) for a, b, _ in want]
+
+
 def test_packing(spark):
     assert packing.fullest([7, 5, 3], {7: 1, 5: 2, 3: 1}, 13) == {5: 2, 3: 1}
     r = random.Random(4)
