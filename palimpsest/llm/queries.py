@@ -64,8 +64,8 @@ def _both(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, s
 
 
 def _noisy(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
-    one, two = (df.select(F.lit(kind).alias("record_kind"), F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("text")) for kind, df, key, text in _both(spark, sf_dir))
-    return scan_noise.repaired(one.unionByName(two), ["record_kind", "record_id"], "text", **how)
+    one, two = (df.select(F.lit(kind).alias("record_kind"), F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("text"), "slug") for kind, df, key, text in _both(spark, sf_dir))
+    return scan_noise.repaired(one.unionByName(two), ["record_kind", "record_id"], "text", "slug", **how)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

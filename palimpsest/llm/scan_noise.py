@@ -1,12 +1,15 @@
 """Noise of scanned pages: broken words, misread characters, running headers, printed page numbers.
 
 Counts over the whole corpus come first: a frequency lexicon (words above ``SHARE`` of all words, so at
-most 1 / ``SHARE`` entries) and the word pairs by 64-bit hashes, every one with its count; they take 12 bytes
-each and are as many as the corpus has, about the square root of its size. Workers build a
+most 1 / ``SHARE`` entries), and for every book the lines at page edges that may be running headers. Workers build a
 symmetric-delete index over the lexicon's confusion skeletons: words that scanners confuse share a
 skeleton or one of its single deletions. A word outside the lexicon, or one that is far rarer than a
 confusable word, is compared to its candidates by an edit distance in which confusion pairs are cheap;
-among close candidates the one that the corpus has seen beside the same neighbours is taken.
+among close candidates the one that the corpus has seen beside the same neighbours is taken. Texts with such a choice
+name the pairs of words they ask for; these are counted over the corpus, and the texts are finished with the answers.
+
+A line at a page's edge that is set like a header is one if a page number is printed beside it, or if it comes back at the
+edges of at least ``RECURS`` pages of its book, misread letters aside. A title that stands over its chapter once stays.
 
 The repair of a text: garbled UTF-8 and look-alike characters are first brought to their form, so that
 they are not taken for misreadings; lines that are page numbers, page markers or running headers go;
@@ -18,6 +21,7 @@ treated alike.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import Scratch, broadcast_if_small, materialize
 from .encodings import WRONG, _ordinary, decoded, may_be_garbled, utf8_pattern
 from .normal_form import _unstable, normalize
 
@@ -39,6 +43,12 @@ CONFUSION, ACCENT, EDIT = 0.4, 0.5, 1.5
 ALONE, WITH_CONTEXT = 0.5, 1.0
 #: How many times more frequent than a lexicon word its correction must be.
 RATIO = 15
+#: Pages of a book at whose edges a line without a page number must come back to be a running header.
+RECURS = 2
+#: Pairs of words asked for that are broadcast, at most, so that only they are counted; beyond it all are counted and joined.
+ASKED_BROADCAST = 1_000_000
+#: Books whose headers are broadcast, at most; more are joined by a shuffle.
+BOOKS_BROADCAST = 200_000
 
 # What scanners take for what, single characters first, then groups.
 CONFUSED = "o0 a@ o@ ec ij i! i1 i| l1 l| l! ij lj tf s5 g9 b6 ó6 ã5 vy çg çc hb".split()
@@ -47,6 +57,7 @@ BASE = str.maketrans("áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaae
 SKELETON = str.maketrans("o@0cçg9ejl1|!fy56", "aaaccccciiiiitvsb")
 LETTERS = set("abcdefghijklmnopqrstuvwxyzáàâãäéèêëíìîïóòôõöúùûüçñ")
 
+_DIGITS = str.maketrans("oil|s", "01115")
 _PAIRS = {frozenset(p) for p in CONFUSED}
 _TOKEN = re.compile(r"[\w@|!]+(?:-[\w@|!]+)*")
 _MARKS = "-¬–=‐"
@@ -146,76 +157,206 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def corpus_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """(word, pair, n): words with counts (pair null), and hashes of word pairs with counts (word null)."""
+def _title(line: str) -> str:
+    """'caps', 'title' or '': how a line without its number is set."""
+    letters = [c for c in line if c.isalpha()]
+    if len(letters) < 4 or line[-1] in "!?;:,.…”" or line[0] in "—–-“":
+        return ""
+    if sum(c.isupper() for c in letters) >= 0.8 * len(letters):
+        return "caps"
+    words = line.split()
+    long = [w for w in words if len(w) >= 4]
+    small = {"sobre", "entre", "para", "pelo", "pela", "contra"}
+    if long and len(words) <= 9 and words[0][0].isupper() and all(w[0].isupper() or w in small for w in long) and sum(w[0].isupper() for w in words) >= max(1, len(long) - 1):
+        return "title"
+    return ""
+
+
+class Page:
+    """Lines of one page; ``gone`` are those that are taken for page numbers or headers so far."""
+
+    def __init__(self, lines: list[str]) -> None:
+        self.lines = lines
+        self.full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+        self.gone: set[int] = set()
+        self.numbers = 0
+        self.headers: list[tuple[int, str, bool]] = []
+
+    def scan(self, recurring: frozenset[int] | set[int] | None) -> Page:
+        """Finds page numbers and headers; without a set of recurring lines, all that could be a header is one."""
+        for at, i in enumerate(self.full):
+            line = self.lines[i]
+            if len(line) > 160 or not (at <= 1 or _LINE_HINT.search(line)):
+                continue
+            line = " ".join(line.split())
+            if len(line) > 80:
+                continue
+            if _DIGIT.search(line) and _NUMBER_LINE.match(line):
+                if self._is_number(at, _NUMBER_LINE.match(line)):
+                    self.gone.add(i)
+                    self.numbers += 1
+                continue
+            printed = self._like_header(at, line)
+            if printed is not None and (printed or recurring is None or header_key(line) in recurring):
+                self.gone.add(i)
+                self.headers.append((i, line, printed))
+        return self
+
+    def _near(self, at: int) -> tuple[str, str]:
+        before = self.lines[self.full[at - 1]].rstrip() if at else ""
+        return before, self.lines[self.full[at + 1]].lstrip() if at + 1 < len(self.full) else ""
+
+    def _is_number(self, at: int, m: re.Match) -> bool:
+        """Whether a line that is a number is a printed one, not the end of a sentence."""
+        before = self._near(at)[0]
+        bare = not (m[1] or m[2] or m[3]) and m[4] in ("", ".")
+        going_on = before and before[-1] not in ".!?”\"»…:—|" and self.full[at - 1] not in self.gone
+        return not (bare and m[4] == "." and going_on)
+
+    def _like_header(self, at: int, line: str) -> bool | None:
+        """None if a line is not set like a header; else whether a page number stands beside it."""
+        i, full = self.full[at], self.full
+        first = at == 0 or all(k in self.gone for k in full[:at]) if at < 8 else False
+        if _DIGIT.search(line):
+            m = _CHAPTER.match(line)
+            if m:
+                return bool(m[1])
+            m = _NUMBERED.match(line)
+            if m:
+                kind = _title(m[1] or m[2])
+                return True if kind == "caps" and not self._loud(at) or kind == "title" and self._alone(at) else None
+        if not (_LOUD.search(line) or at <= 1):
+            return None
+        kind = _title(line)
+        if kind == "caps":
+            edge = at == len(full) - 1 or first or self._apart(i)
+            return False if edge and not self._loud(at) else None
+        after = self._near(at)[1]
+        if kind == "title" and first and len(line) <= 50 and len(line.split()) > 1 and after and (after[0].isupper() or after[0] in "—–“"):
+            return False
+        return None
+
+    def _apart(self, i: int) -> bool:
+        return bool(i) and self.lines[i - 1].strip() == "" and (i + 1 >= len(self.lines) or self.lines[i + 1].strip() == "")
+
+    def _alone(self, at: int) -> bool:
+        return at == 0 or at == len(self.full) - 1 or self.full[at - 1] in self.gone or self._apart(self.full[at])
+
+    def _loud(self, at: int) -> bool:
+        """Whether a line of capitals belongs to a sentence in capitals that runs over several lines."""
+        i, full = self.full[at], self.full
+        before, after = self._near(at)
+        first = after.split()[0] if after and full[at + 1] == i + 1 else ""
+        last = before.split()[-1] if before and full[at - 1] == i - 1 and full[at - 1] not in self.gone else ""
+        return len(first) > 1 and first.isupper() and not _CHAPTER.match(after) or len(last) > 1 and last.isupper() and last[-1] not in ".!?" and last.strip(",").isalpha()
+
+    def left(self) -> list[str]:
+        return [x for i, x in enumerate(self.lines) if i not in self.gone] if self.gone else self.lines
+
+
+def header_candidates(text: str) -> list[int]:
+    """Keys of the lines of a text that could be running headers."""
+    return [header_key(undone(line)) for p in text.split("\f") for _, line, _ in Page(_LINE.split(p)).scan(None).headers]
+
+
+def header_key(line: str) -> int:
+    """What the lines of one running header share: letters by their confusion classes, and the number of a chapter."""
+    m = _CHAPTER.match(line)
+    if m:
+        words = line.split()
+        return _hash("chapter " + words[1].lower().translate(_DIGITS))
+    m = _NUMBERED.match(line)
+    return _hash("".join(c for c in min(skeletons((m[1] or m[2] if m else line).lower())) if c.isalpha()))
+
+
+def corpus_counts(df: DataFrame, text_col: str, book_col: str) -> DataFrame:
+    """(kind, word, hash, n): words ('w'), and keys of a book's header-like lines at page edges ('h', ``word`` is the book)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def rows(kind: str, word: list[str], own: list[int | None], n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), pa.array(word, pa.string()), pa.array(own, pa.int64()), pa.array(n, pa.int64())], names=["kind", "word", "hash", "n"])
+
+        for batch in batches:
+            heads: Counter = Counter()
+            for t, book in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if t:
+                    words.update(_words_of(t))
+                    heads.update((book, key) for key in header_candidates(t))
+            yield rows("h", [b for b, _ in heads], [_signed(k) for _, k in heads], list(heads.values()))
+            if len(words) > 500_000:  # hand on what is counted, to hold no more than that
+                yield rows("w", list(words), [None] * len(words), list(words.values()))
+                words.clear()
+        yield rows("w", list(words), [None] * len(words), list(words.values()))
+
+    return df.select(F.col(text_col).alias("text"), F.col(book_col).alias("book")).mapInArrow(run, "kind string, word string, hash bigint, n bigint").groupBy("kind", "word", "hash").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(df: DataFrame, text_col: str, asked: np.ndarray | None = None) -> DataFrame:
+    """(hash, n): how often two words stand beside each other, of all pairs or of those with the hashes ``asked``, which are sorted."""
+    wanted = df.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[str, int] = {}
         hashes = np.zeros(0, dtype=np.uint64)
-        n = np.zeros(0, dtype=np.int64)
         pairs, seen = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
 
-        def words() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.nulls(len(ids), pa.int64()), pa.array(n)], names=["word", "pair", "n"])
-
         def merged() -> tuple[np.ndarray, np.ndarray]:
             own, at = np.unique(np.concatenate(pairs), return_inverse=True)
             return own, np.bincount(at, weights=np.concatenate(seen), minlength=len(own)).astype(np.int64)
 
-        def beside(own: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(k)], names=["word", "pair", "n"])
+        def rows(own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
         for batch in batches:
             flat: list[str] = []
             for t in batch.column(0).to_pylist():
                 if t:
-                    flat += _TOKEN.findall(_JOIN.sub("", t).lower())
+                    flat += _words_of(t)
                     flat.append("\n")
             if not flat:
                 continue
-            new = set(flat).difference(ids)
-            if new:
-                first, fresh = len(ids), sorted(new)
-                ids.update((w, first + k) for k, w in enumerate(fresh))
-                hashes = np.concatenate([hashes, np.array([_hash(w) for w in fresh], dtype=np.uint64)])
-                n = np.concatenate([n, np.zeros(len(new), dtype=np.int64)])
-            own = np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat))
-            n += np.bincount(own, minlength=len(n))
-            h = hashes[own]
-            own, k = np.unique(_pair(h[:-1], h[1:]), return_counts=True)
+            if len(ids) > 500_000:
+                ids, hashes = {}, hashes[:0]
+            first, fresh = len(ids), sorted(set(flat).difference(ids))
+            ids.update((w, first + k) for k, w in enumerate(fresh))
+            hashes = np.concatenate([hashes, np.array([_hash(w) for w in fresh], dtype=np.uint64)])
+            h = hashes[np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat))]
+            own = _pair(h[:-1], h[1:])
+            if wanted.value is not None:
+                own = own[np.isin(own, wanted.value)]
+            own, n = np.unique(own, return_counts=True)
             pairs.append(own)
-            seen.append(k)
+            seen.append(n)
             if sum(map(len, pairs)) > HELD_PAIRS:
-                own, k = merged()
+                own, n = merged()
                 if len(own) > HELD_PAIRS // 2:
-                    yield beside(own, k)
-                    own, k = own[:0], k[:0]
-                pairs, seen = [own], [k]
-            if len(ids) > 500_000:  # hand on what is counted, to hold no more than that
-                yield words()
-                ids, hashes, n = {}, hashes[:0], n[:0]
-        if ids:
-            yield words()
-        yield beside(*merged())
-
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, pair bigint, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n"))
-
-
-def corpus_model(df: DataFrame, text_col: str) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray]]:
-    """The bounded lexicon, and the hashes of all word pairs in order with their counts."""
-    counts = materialize(corpus_counts(df, text_col), "counts")
-    total = counts.filter("word is not null").agg(F.sum("n")).first()[0] or 0
-    least = max(2, int(total * SHARE))
-    lexicon = {r.word: r.n for r in counts.filter("word is not null").filter(F.col("n") >= least).select("word", "n").toLocalIterator() if all(c in LETTERS for c in r.word.replace("-", ""))}
-    table = counts.filter("word is null").select("pair", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
-    pairs, seen = table["pair"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    order = np.argsort(pairs)
-    return lexicon, (pairs[order], seen[order])
+                    yield rows(own, n)
+                    own, n = own[:0], n[:0]
+                pairs, seen = [own], [n]
+        yield rows(*merged())
+
+    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _words_of(text: str) -> list[str]:
+    return _TOKEN.findall(_JOIN.sub("", text).lower())
+
+
+def lexicon_of(counts: DataFrame) -> dict[str, int]:
+    """Words above ``SHARE`` of all words, with their counts."""
+    words = counts.filter("kind = 'w'")
+    least = max(2, int((words.agg(F.sum("n")).first()[0] or 0) * SHARE))
+    return {r.word: r.n for r in words.filter(F.col("n") >= least).select("word", "n").toLocalIterator() if all(c in LETTERS for c in r.word.replace("-", ""))}
 
 
 class Repairer:
-    def __init__(self, lexicon: dict[str, int], pairs: tuple[np.ndarray, np.ndarray] | None) -> None:
-        self.lexicon, self.pairs = lexicon, pairs
+    """Repairs by a lexicon. Without ``answers`` it only notes in ``asked`` the word pairs that a choice would need."""
+
+    def __init__(self, lexicon: dict[str, int], answers: dict[int, int] | None = None) -> None:
+        self.lexicon, self.answers = lexicon, answers
+        self.asked: set[int] = set()
         self.total = sum(lexicon.values()) or 1
         self.index: dict[str, list[str]] = {}
         for w in lexicon:
@@ -251,11 +392,11 @@ class Repairer:
 
     def beside(self, before: str, word: str, after: str) -> int:
         """How often the corpus has the word right after the one before or right before the one after."""
-        if self.pairs is None:
+        pairs = _pair(_hash(before), _hash(word)), _pair(_hash(word), _hash(after))
+        if self.answers is None:
+            self.asked.update(pairs)
             return 0
-        pairs, seen = self.pairs
-        own = np.array([_pair(_hash(before), _hash(word)), _pair(_hash(word), _hash(after))], dtype=np.uint64)
-        return sum(int(seen[k]) for k, p in zip(np.searchsorted(pairs, own), own) if k < len(pairs) and pairs[k] == p)
+        return sum(self.answers.get(p, 0) for p in pairs)
 
     def meant(self, token: str, before: str, after: str) -> str | None:
         """The word that a token was read from, or None if the token stands as it is."""
@@ -289,89 +430,12 @@ class Repairer:
             return a + b if mark != "–" or n or not (a.lower() in self.lexicon and b.lower() in self.lexicon) else None
         return a + b if n and (mark in "¬=" or not (a.lower() in self.lexicon and b.lower() in self.lexicon)) else None
 
-    @staticmethod
-    def title(line: str) -> str:
-        """'caps', 'title' or '': how a line without its number is set."""
-        letters = [c for c in line if c.isalpha()]
-        if len(letters) < 4 or line[-1] in "!?;:,.…”" or line[0] in "—–-“":
-            return ""
-        if sum(c.isupper() for c in letters) >= 0.8 * len(letters):
-            return "caps"
-        words = line.split()
-        long = [w for w in words if len(w) >= 4]
-        small = {"sobre", "entre", "para", "pelo", "pela", "contra"}
-        if long and len(words) <= 9 and words[0][0].isupper() and all(w[0].isupper() or w in small for w in long) and sum(w[0].isupper() for w in words) >= max(1, len(long) - 1):
-            return "title"
-        return ""
-
-    def chrome(self, pages: list[list[str]]) -> tuple[list[list[str]], int, int]:
-        """Pages without page numbers and running headers; how many of each went."""
-        numbers = headers = 0
-        out = []
-        for lines in pages:
-            full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-            drop = set()
-            for at, i in enumerate(full):
-                line = lines[i]
-                if len(line) > 160 or not (at <= 1 or _LINE_HINT.search(line)):
-                    continue
-                line = " ".join(line.split())
-                if len(line) > 80:
-                    continue
-                before = lines[full[at - 1]].rstrip() if at else ""
-                after = lines[full[at + 1]].lstrip() if at + 1 < len(full) else ""
-                if _DIGIT.search(line):
-                    m = _NUMBER_LINE.match(line)
-                    if m:
-                        bare = not (m[1] or m[2] or m[3]) and m[4] in ("", ".")
-                        going_on = before and before[-1] not in ".!?”\"»…:—|" and at - 1 not in drop and (full[at - 1] not in drop)
-                        if not (bare and m[4] == "." and going_on):
-                            drop.add(i)
-                            numbers += 1
-                        continue
-                    if _CHAPTER.match(line):
-                        drop.add(i)
-                        headers += 1
-                        continue
-                    m = _NUMBERED.match(line)
-                    kind = self.title(m[1] or m[2]) if m else ""
-                    if kind == "caps" and not self._loud(before, after, lines, full, at, drop) or kind == "title" and self._alone(lines, full, at, drop):
-                        drop.add(i)
-                        headers += 1
-                        continue
-                elif _LOUD.search(line) or at <= 1:
-                    kind = self.title(line)
-                    edge = at == 0 or at == len(full) - 1 or all(full[k] in drop for k in range(at)) or (lines[i - 1].strip() == "" and (i + 1 >= len(lines) or lines[i + 1].strip() == ""))
-                    if kind == "caps" and edge and not self._loud(before, after, lines, full, at, drop):
-                        drop.add(i)
-                        headers += 1
-                    elif kind == "title" and (at == 0 or all(full[k] in drop for k in range(at))) and len(line) <= 50 and len(line.split()) > 1 and after and (after[0].isupper() or after[0] in "—–“"):
-                        drop.add(i)
-                        headers += 1
-            out.append([x for i, x in enumerate(lines) if i not in drop] if drop else lines)
-        return out, numbers, headers
-
-    @staticmethod
-    def _alone(lines: list[str], full: list[int], at: int, drop: set[int]) -> bool:
-        i = full[at]
-        return at == 0 or at == len(full) - 1 or full[at - 1] in drop or (lines[i - 1].strip() == "" and (i + 1 >= len(lines) or lines[i + 1].strip() == ""))
-
-    @staticmethod
-    def _loud(before: str, after: str, lines: list[str], full: list[int], at: int, drop: set[int]) -> bool:
-        """Whether a line of capitals belongs to a sentence in capitals that runs over several lines."""
-        i = full[at]
-        glued_after = bool(after) and full[at + 1] == i + 1
-        glued_before = bool(before) and full[at - 1] == i - 1 and full[at - 1] not in drop
-        first = after.split()[0] if glued_after else ""
-        last = before.split()[-1] if glued_before else ""
-        return len(first) > 1 and first.isupper() and not _CHAPTER.match(after) or len(last) > 1 and last.isupper() and last[-1] not in ".!?" and last.strip(",").isalpha()
-
-    def repair(self, text: str, *, bare: bool = False) -> tuple[str, int, int, int, int]:
-        """The text in paragraphs (``bare``: in its lines), and how many words were joined, words replaced, headers and page numbers removed."""
+    def prepared(self, text: str, recurring: frozenset[int] | set[int] | None) -> tuple[str, int, int, int]:
+        """The text in its lines without headers and page numbers and with broken words whole: (text, joined, headers, numbers)."""
         text = undone(text)
-        pages, numbers, headers = self.chrome([_LINE.split(p) for p in text.split("\f")])
-        body = "\n".join("\n".join(p) for p in pages)
-        body, joined = self.mended(body)
+        pages = [Page(_LINE.split(p)).scan(recurring) for p in text.split("\f")]
+        headers, numbers = sum(len(p.headers) for p in pages), sum(p.numbers for p in pages)
+        body, joined = self.mended("\n".join("\n".join(p.left()) for p in pages))
         if _INLINE_HINT.search(body):
             for pattern in _INLINE:
                 hits = [m for m in pattern.finditer(body) if any(len(w.strip(",.")) >= 4 for w in m[1].split())]
@@ -381,13 +445,18 @@ class Repairer:
         if _NUMBER_HINT.search(body):
             body, k = _INLINE_NUMBER.subn("", body)
             numbers += k
-        replaced = 0
-        if self._suspects(body):
-            body, replaced = self._words(body)
-        if bare:
-            return body, joined, replaced, headers, numbers
-        paragraphs = ["\n".join(x.strip() for x in p.split("\n") if x.strip()) for p in re.split(r"\n[ \t]*\n+", body)]
-        return "\n\n".join(" ".join(p.split()) for p in paragraphs if p), joined, replaced, headers, numbers
+        return body, joined, headers, numbers
+
+    def worded(self, body: str) -> tuple[str, int]:
+        """The text with misread words replaced, and how many were."""
+        self.asked.clear()
+        return self._words(body) if self._suspects(body) else (body, 0)
+
+    def repair(self, text: str, recurring: frozenset[int] | set[int] | None = None) -> tuple[str, int, int, int, int]:
+        """The text in paragraphs, and how many words were joined, words replaced, headers and page numbers removed."""
+        body, joined, headers, numbers = self.prepared(text, recurring)
+        body, replaced = self.worded(body)
+        return paragraphs(body), joined, replaced, headers, numbers
 
     def mended(self, body: str) -> tuple[str, int]:
         """The text with broken words whole, and how many were; a word may be broken more than once."""
@@ -454,22 +523,79 @@ class Repairer:
         return self.meant(core, before, after)
 
 
-COUNTS = ("joined", "replaced", "headers", "numbers")
+def paragraphs(body: str) -> str:
+    """Lines joined to paragraphs at blank lines."""
+    own = ["\n".join(x.strip() for x in p.split("\n") if x.strip()) for p in re.split(r"\n[ \t]*\n+", body)]
+    return "\n\n".join(" ".join(p.split()) for p in own if p)
 
 
-def repaired(df: DataFrame, key_cols: list[str], text_col: str, *, noisy_only: bool = False) -> DataFrame:
-    """Keys, repaired text and counts for every row, or keys and counts of the rows that hold noise."""
-    model = df.sparkSession.sparkContext.broadcast(corpus_model(df, text_col))  # lexicon bounded by SHARE; 12 bytes for each distinct pair
+COUNTS = ("joined", "replaced", "headers", "numbers")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Repairer(*model.value)
-        for batch in batches:
-            rows = [(None, 0, 0, 0, 0) if t is None else tool.repair(t, bare=noisy_only) for t in batch.column(len(key_cols)).to_pylist()]
-            keep = pa.array([i for i, r in enumerate(rows) if not noisy_only or any(r[1:])], pa.int64())
-            rows = [rows[i] for i in keep.to_pylist()]
-            text = [None if noisy_only else r[0] for r in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in range(len(key_cols))), pa.array(text, pa.string()), *(pa.array([r[j] for r in rows], pa.int32()) for j in range(1, 5))], names=[*key_cols, "text", *COUNTS])
 
-    rows = df.select(*key_cols, F.col(text_col).alias("text"))
+def repaired(df: DataFrame, key_cols: list[str], text_col: str, book_col: str | None = None, *, noisy_only: bool = False) -> DataFrame:
+    """Keys, repaired text and counts for every row, or keys and counts of the rows that hold noise.
+
+    A row without a book is a book of its own. A row that is noisy without any choice between words is not asked about in ``noisy_only``.
+    """
+    spark, n_keys = df.sparkSession, len(key_cols)
+    rows = df.select(*key_cols, F.col(text_col).alias("text"), F.coalesce(F.col(book_col).cast("string") if book_col else F.lit(None).cast("string"), F.concat_ws("\x00", *key_cols)).alias("book"))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in key_cols) + ", text string, " + ", ".join(f"{c} int" for c in COUNTS))
+    keys = ", ".join(f"{k} {kinds[k]}" for k in key_cols)
+    with Scratch(spark) as tables:
+        counts = tables.table(corpus_counts(rows, "text", "book"), "counts")
+        lexicon = spark.sparkContext.broadcast(lexicon_of(counts))  # bounded by SHARE
+        heads = tables.table(counts.filter(f"kind = 'h' and n >= {RECURS}").groupBy(F.col("word").alias("book")).agg(F.collect_list("hash").alias("heads")), "heads")
+        booked = rows.join(broadcast_if_small(heads, heads.count(), BOOKS_BROADCAST), "book", "left").select(*key_cols, "text", "heads")
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tool = Repairer(lexicon.value)
+            for batch in batches:
+                out, keep = [], []
+                for i, (t, heads) in enumerate(zip(*(batch.column(n_keys + k).to_pylist() for k in (0, 1)))):
+                    if t is None:
+                        row = (None, 0, 0, 0, 0, None)
+                    else:
+                        body, joined, headers, numbers = tool.prepared(t, {h & _FULL for h in heads or ()})
+                        noisy = joined + headers + numbers > 0
+                        done, replaced = (body, 0) if noisy_only and noisy else tool.worded(body)
+                        asked = [_signed(p) for p in sorted(tool.asked)] if tool.asked and not (noisy_only and (noisy or replaced)) else None
+                        row = (body if asked else None if noisy_only else paragraphs(done), joined, replaced, headers, numbers, asked)
+                    if not noisy_only or any(row[1:5]) or row[5]:
+                        keep.append(i)
+                        out.append(row)
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(n_keys)), pa.array([r[0] for r in out], pa.string()), *(pa.array([r[j] for r in out], pa.int32()) for j in range(1, 5)), pa.array([r[5] for r in out], pa.list_(pa.int64()))], names=[*key_cols, "text", *COUNTS, "asked"])
+
+        looked = tables.table(booked.mapInArrow(first, f"{keys}, text string, " + ", ".join(f"{c} int" for c in COUNTS) + ", asked array<bigint>").withColumn("row", F.monotonically_increasing_id()), "looked")
+        pending = looked.filter("asked is not null")
+        if pending.isEmpty():
+            return materialize(looked.select(*key_cols, "text", *COUNTS), "repaired")
+        # the pairs that texts ask for are counted, and go back to each text; a text asks for its own words' pairs only
+        asked = tables.table(pending.select(F.explode("asked").alias("hash")).distinct(), "asked")
+        n_asked = asked.count()
+        known = pair_counts(rows, "text", np.sort(asked.toArrow()["hash"].to_numpy().view(np.uint64)) if n_asked <= ASKED_BROADCAST else None)
+        hits = pending.select("row", F.explode("asked").alias("hash")).join(known.join(broadcast_if_small(asked, n_asked), "hash", "left_semi"), "hash")
+        answers = hits.groupBy("row").agg(F.collect_list("hash").alias("pairs"), F.collect_list("n").alias("times"))
+
+        def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tool = Repairer(lexicon.value, {})
+            for batch in batches:
+                col = {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names) if k >= n_keys}
+                out = []
+                for body, joined, headers, numbers, pairs, times in zip(*(col[c] for c in ("text", "joined", "headers", "numbers", "pairs", "times"))):
+                    tool.answers = {p & _FULL: n for p, n in zip(pairs or (), times or ())}
+                    text, replaced = tool.worded(body)
+                    out.append((None if noisy_only else paragraphs(text), joined, replaced, headers, numbers))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_keys)), pa.array([r[0] for r in out], pa.string()), *(pa.array([r[j] for r in out], pa.int32()) for j in range(1, 5))], names=[*key_cols, "text", *COUNTS])
+
+        finished = pending.join(answers, "row", "left").select(*key_cols, "text", *COUNTS, "pairs", "times").mapInArrow(second, f"{keys}, text string, " + ", ".join(f"{c} int" for c in COUNTS))
+        if noisy_only:
+            finished = finished.filter("joined + replaced + headers + numbers > 0")
+        return materialize(looked.filter("asked is null").select(*key_cols, "text", *COUNTS).unionByName(finished), "repaired")
+
+
+_FULL = (1 << 64) - 1
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x

@@ -124,14 +124,37 @@ def test_scan_noise_neighbours_of_many_pairs(spark):
     words = ["".join(r.choice("abdegmnoprstuv") for _ in range(9)) for _ in range(1500)]
     text = [[r.choice(words) for _ in range(200_000)] for _ in range(4)]  # about 670,000 distinct pairs
     seen = {p for t in text for p in zip(t, t[1:])}
-    lexicon, pairs = scan_noise.corpus_model(spark.createDataFrame([(" ".join(t),) for t in text], "t string"), "t")
-    tool = scan_noise.Repairer(lexicon, pairs)
+    counts = scan_noise.pair_counts(spark.createDataFrame([(" ".join(t),) for t in text], "t string"), "t").collect()
+    tool = scan_noise.Repairer({}, {r.hash & scan_noise._FULL: r.n for r in counts})
     some = [(r.choice(words), r.choice(words), r.choice(words)) for _ in range(1000)]
     unseen = [x for x in some if not seen & {x[:2], x[1:]}]
     assert len(unseen) > 100 and not any(tool.beside(*x) for x in unseen)
     assert all(tool.beside(*x) for x in some if seen & {x[:2], x[1:]})
 
 
+def test_scan_noise_headers_come_back(spark):
+    page = "certo caminho antigo da cidade.\nMesmo governo."
+    rows = [
+        (1, "b", f"A CASA DO RIO\n{page}\fA CASA D0 RIO\n{page}"), (2, "b", f"O COMEÇO\n{page}"), (3, "c", f"A CASA DO RIO\n{page}"), (4, None, f"A PONTE\n{page}\fA PONTE\n{page}"),
+        (5, None, f"O MOINHO\n{page}"), (6, None, f"O MOINHO\n{page}"), (7, "c", f"O FIM 31\n{page}"), (8, "d", f"Capítulo 2\n{page}\fCapítulo 3\n{page}"),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "k bigint, b string, t string, book string")
+    got = {r.k: r for r in scan_noise.repaired(df, ["k"], "t", "b").collect()}
+    assert {k: r.headers for k, r in got.items()} == {1: 2, 2: 0, 3: 0, 4: 2, 5: 0, 6: 0, 7: 1, 8: 0}
+    assert got[2].text.startswith("O COMEÇO certo") and got[8].text.startswith("Capítulo 2 certo")  # titles that stand once stay
+
+
+def test_scan_noise_asks_for_pairs(spark, monkeypatch):
+    # by its letters 'cas@' may be 'casa' or 'caso'; only the neighbours tell
+    rows = [*enumerate(["minha casa velha", "primeiro caso novo"] * 40), (900, "minha cas@ velha"), (901, "primeiro cas@ novo"), (902, "minha casa"), (903, None)]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    for most in (0, 1_000_000):  # pairs joined, and pairs broadcast
+        monkeypatch.setattr(scan_noise, "ASKED_BROADCAST", most)
+        got = {r.k: (r.text, r.replaced) for r in scan_noise.repaired(df, ["k"], "t").collect()}
+        assert len(got) == len(rows) and got[900] == ("minha casa velha", 1) and got[901] == ("primeiro caso novo", 1) and got[902] == ("minha casa", 0) and got[903] == (None, 0)
+        assert {r.k for r in scan_noise.repaired(df, ["k"], "t", noisy_only=True).collect()} == {900, 901}
+
+
 def test_scan_noise_empty_table(spark):
     assert scan_noise.repaired(spark.createDataFrame([], "k bigint, t string"), ["k"], "t").count() == 0
 
