@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 NL = r"\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}"
 S, NS = f"[{WS}]", f"[^{WS}]"
+#: The same white space, character by character.
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 # Code points removed as invisible, besides controls other than line feed and tab.
 INVISIBLE = r"\x{200b}\x{200c}\x{200d}\x{feff}\x{ad}\x{180e}\x00-\x08\x0b-\x1f\x7f-\x{9f}"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{S}++|(?<!{S}){S}++\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?<!{S}){S}++\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def split_lines(c: Column) -> Column:
     """Lines of a text; a final line end opens no further line, and an empty text has no lines."""
-    open_end = F.regexp_replace(c, rf"(?:\r\n|[{NL}])\z", "")
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(open_end, rf"\r\n|[{NL}]"))
+    return let(F.split(c, rf"\r\n|[{NL}]"), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 @lru_cache(maxsize=1)

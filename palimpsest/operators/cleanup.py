@@ -46,12 +46,25 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def _matches_short(s: Column, most: int, pattern: str) -> Column:
+    """Whether a stripped line matches a pattern for at most so many characters; long lines are told by their length."""
+    return F.when(F.length(s) <= most, s.rlike(pattern)).otherwise(F.when(s.isNotNull(), F.lit(False)))
+
+
 def is_page_number(line: Column) -> Column:
-    return strip(line).rlike(PAGE_NUMBER)
+    return stripped_number(strip(line))
+
+
+def stripped_number(s: Column) -> Column:
+    return _matches_short(s, 4, PAGE_NUMBER)
 
 
 def is_edge_garbage(line: Column) -> Column:
-    return strip(line).rlike(EDGE_GARBAGE)
+    return stripped_garbage(strip(line))
+
+
+def stripped_garbage(s: Column) -> Column:
+    return _matches_short(s, 1, EDGE_GARBAGE)
 
 
 def is_garbage_line(line: Column) -> Column:
@@ -70,8 +83,9 @@ def nonblank(lines: Column) -> Column:
 
 def printed_number(page: Column) -> Column:
     """The page number printed alone in the last line, or null."""
-    last = F.get(F.reverse(nonblank(split_lines(page))), F.lit(0))
-    return F.when(last.rlike(PAGE_NUMBER), last)
+    full = strip(page)
+    last = strip(F.element_at(split_lines(full), -1))
+    return F.when(full.rlike(r"\p{Nd}\z"), F.when(stripped_number(last), last))
 
 
 def noise_score(page: Column) -> Column:
@@ -114,9 +128,9 @@ def _repeated(pages: pd.Series, folded: pd.Series, numbers: pd.Series, noise: pd
 
 
 def _similar(a: str, b: str) -> bool:
-    if a and b and 2 * min(len(a), len(b)) / (len(a) + len(b)) < SIMILAR:
-        return False
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= SIMILAR
+    """Whether two texts are alike; bounds by length and by common letters spare the comparison where they can."""
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.real_quick_ratio() >= SIMILAR and m.quick_ratio() >= SIMILAR and m.ratio() >= SIMILAR
 
 
 def repeated_pages(pages: Column) -> Column:
@@ -176,7 +190,7 @@ def _page(lines: Column, heads: Column, enhanced: bool) -> Column:
     """Text of a page without its edges, and what was taken: (text, headers, numbers, garbage)."""
     no = F.lit(False)
     bare = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), lambda x: x["s"] != "")
-    flagged = lambda x: F.struct(x["i"].alias("i"), stripped_header(x["s"], heads, enhanced).alias("h"), x["s"].rlike(PAGE_NUMBER).alias("n"), x["s"].rlike(EDGE_GARBAGE).alias("g"), (F.length(x["s"]) <= 3).alias("short"))
+    flagged = lambda x: F.struct(x["i"].alias("i"), stripped_header(x["s"], heads, enhanced).alias("h"), stripped_number(x["s"]).alias("n"), stripped_garbage(x["s"]).alias("g"), (F.length(x["s"]) <= 3).alias("short"))
     tally = lambda rows, cond: F.size(F.filter(rows, cond))
 
     def with_rows(nb: Column) -> Column:
@@ -213,7 +227,7 @@ def _chrome(text: Column, pages: Column, gone: Column, enhanced: bool) -> Column
     def residual(done: Column, heads: Column) -> Column:
         texts = F.filter(F.transform(done, lambda x: x["text"]), lambda p: p != "")
         pairs = F.transform(split_lines(join(texts, "\n")), lambda x: F.struct(x.alias("x"), strip(x).alias("s")))
-        flags = F.transform(pairs, lambda x: F.struct(x["x"].alias("x"), stripped_header(x["s"], heads, enhanced).alias("h"), x["s"].rlike(PAGE_NUMBER).alias("n")))
+        flags = F.transform(pairs, lambda x: F.struct(x["x"].alias("x"), stripped_header(x["s"], heads, enhanced).alias("h"), stripped_number(x["s"]).alias("n")))
         left = lambda rows: F.struct(
             join(F.transform(F.filter(rows, lambda x: ~(x["h"] | x["n"])), lambda x: x["x"]), "\n").alias("text"), (total(done, "headers") + F.size(F.filter(rows, lambda x: x["h"]))).alias("headers"),
             (total(done, "numbers") + F.size(F.filter(rows, lambda x: x["n"] & ~x["h"]))).alias("numbers"), total(done, "garbage").alias("garbage"),
@@ -232,7 +246,8 @@ def strip_invisibles(c: Column) -> Column:
 
 def without_inline_numbers(kept: Column) -> Column:
     """Bound lines, free of garbage lines, without page numbers that open the rest of a hyphenated word."""
-    return F.transform(kept, lambda x, i: F.when((i > 0) & F.coalesce(rstrip(F.get(kept, i - 1)).endswith("-"), F.lit(False)), F.regexp_replace(x, INLINE_NUMBER, "")).otherwise(x))
+    opens = lambda x, i: x.rlike(INLINE_NUMBER) & (i > 0) & F.coalesce(rstrip(F.get(kept, i - 1)).endswith("-"), F.lit(False))
+    return F.transform(kept, lambda x, i: F.when(opens(x, i), F.regexp_replace(x, INLINE_NUMBER, "")).otherwise(x))
 
 
 def dehyphenate(c: Column) -> Column:
@@ -249,9 +264,10 @@ def reflow(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    for pattern, new in (("[ \t]+", " "), ("[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("\n{3,}", "\n\n")):
-        c = F.regexp_replace(c, pattern, new)
-    return F.concat(strip(c), F.lit("\n"))
+    # runs become one space first, so that single spaces beside line ends are all that is left
+    c = F.regexp_replace(c, "[ \t]{2,}|\t", " ")
+    c = F.replace(F.replace(c, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.concat(strip(F.regexp_replace(c, "\n{3,}", "\n\n")), F.lit("\n"))
 
 
 def _after_chrome(text: Column, reflow_paragraphs: bool, enhanced: bool) -> Column:

@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import pytest
-import sequential
 from pyspark.sql import functions as F
 
 from palimpsest.functions.strings import fold, split_lines, strip
@@ -66,18 +66,79 @@ def test_edges(spark):
     assert cleanup.clean_text(clash, "t").first().text == "kept"
 
 
+WORDS = "casa rio monte pedra ponte livro terra vento folha campo noite manhã irmão cabeça história água".split()
+
+
+def book(r, n_pages, enhanced=False):
+    """A book of clean lines and the same book with planted dirt; what was planted, by counter."""
+    planted = dict.fromkeys(["headers_removed", "page_numbers_removed", "edge_garbage_removed", "garbage_lines_removed", "isolated_bars_removed", "hyphenations_joined", "page_markers_removed", "invisible_removed"], 0)
+    title, clean, dirty = "O Livro Das Terras", [], []
+    for n in range(n_pages):
+        words = [r.choice(WORDS) for _ in range(r.randint(12, 40))]
+        clean += words
+        lines = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+        whole = lines[-1].split()
+        if len(whole) > 1 and r.random() < 0.5:  # a word broken at a line end
+            w = whole[-1]
+            lines[-1:] = [" ".join(whole[:-1] + [w[:2] + "-"]), w[2:]]
+            planted["hyphenations_joined"] += 1
+        if r.random() < 0.4:
+            lines.insert(1, "—<—")  # goes with its page's edges, uncounted
+        if r.random() < 0.4:
+            lines[0] += " | "
+            planted["isolated_bars_removed"] += 1
+        if r.random() < 0.4:
+            lines[0] = lines[0][:1] + "\u200b" + lines[0][1:]
+            planted["invisible_removed"] += 1
+        marked = r.random() < 0.4
+        if marked:  # leaves an empty line, so it stands below the header
+            lines.insert(0, "-- 3 of 9 --")
+            planted["page_markers_removed"] += 1
+        head = r.choice([title, title.upper(), f"{10 + n} {title}", f"  {title}  "])
+        planted["headers_removed"] += 1
+        lines.insert(0, title if n < 2 else head)  # at least two pages begin with the plain title
+        if enhanced and r.random() < 0.5:
+            lines.append(f"{title} {30 + n}")
+            planted["headers_removed"] += 1
+        if r.random() < 0.5:
+            lines.append('"')
+            planted["edge_garbage_removed"] += 1
+        if r.random() < 0.7:
+            lines.append(str(100 + n))
+            planted["page_numbers_removed"] += 1
+        dirty.append(("\n" if marked else r.choice(["\n", "\r\n", "\u2028"])).join(lines))
+    return " ".join(clean), "\f".join(dirty), planted
+
+
 @pytest.mark.parametrize("enhanced", [False, True])
-def test_against_sequential_model(spark, enhanced):
+def test_planted_dirt_goes_and_all_else_stays(spark, enhanced):
     r = random.Random(3)
-    bits = ["Título Um", "TITULO UM", "12 Título Um", "Título Um 13", "palavra-", "resto 1914", "\f", "\f", "\n", "\n\n", "42", "9", "—<—", "|", "a | b", "dá", ".", " ", " ", "", "​", "1. Nova", "Fim. 2. Outra", "-- 1 of 9 --", "cap ..... 7", "é", "\x02\n", "10 de novo", "\r\n", "\x1c"]
-    texts = ["\n".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(400)]
-    for row, t in zip(cleaned(spark, texts, enhanced=enhanced, drop_leading_pages=1), texts):
-        assert (row.clean_text, row.clean_stats.asDict()) == sequential.clean(t, drop=1, enhanced=enhanced), repr(t)
+    books = [book(r, r.randint(2, 6), enhanced) for _ in range(60)]
+    for row, (clean, dirty, planted) in zip(cleaned(spark, [b[1] for b in books], enhanced=enhanced), books):
+        stats = row.clean_stats.asDict()
+        assert row.clean_text == clean + "\n", dirty
+        assert {k: stats[k] for k in planted} == planted and stats["pages_processed"] == dirty.count("\f") + 1
+        assert (stats["chars_in"], stats["chars_out"]) == (len(dirty), len(row.clean_text))
+
+
+def test_properties_of_any_text(spark):
+    r = random.Random(4)
+    bits = ["Título Um", "TITULO UM", "12 Título Um", "palavra-", "resto 1914", "\f", "\f", "\n", "\n\n", "42", "9", "—<—", "|", "a | b", "dá", ".", "\xa0", "", "\u200b", "1. Nova", "Fim. 2. Outra", "-- 1 of 9 --", "cap ..... 7", "e\u0301", "\x02", "10 de novo", "\r\n", "\x1c"]
+    texts = ["\n".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    first = cleaned(spark, texts)
+    again = cleaned(spark, [row.clean_text for row in first])
+    for t, row, twice in zip(texts, first, again):
+        out, s = row.clean_text, row.clean_stats
+        assert out.endswith("\n") and "\f" not in out and "\u200b" not in out and "  " not in out and "\n\n\n" not in out and unicodedata.is_normalized("NFC", out)
+        assert all(v >= 0 for v in s.asDict().values()) and s.chars_in == len(t) and s.chars_out == len(out)
+        assert s.pages_processed <= t.count("\f") + 1 and s.leading_pages_dropped == 0  # a marker takes the white space around it, page ends too
+        assert [x for x in out.split("\n") if x.strip().isdigit() and len(x.strip()) <= 4] == [] or s.embedded_sections_split
+        assert len("".join(twice.clean_text.split())) <= len("".join(out.split())) and twice.clean_stats.invisible_removed == 0
 
 
 def test_string_semantics(spark):
     texts = ["\x1c a b\x85", "a\r\nb\rc", "", "x\n", "ÀÇã ß ﬁ", "ΆΒ", "Straße", "\xa0"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = df.select(strip(F.col("t")), split_lines(F.col("t")), fold(F.col("t"))).collect()
-    for t, row in zip(texts, got):
-        assert list(row) == [t.strip(), t.splitlines(), sequential.folded(t).replace("fi", "ﬁ") if "ﬁ" in t else sequential.folded(t)]
+    folded = ["a b", "a\r\nb\rc", "", "x", "aca ss ﬁ", "αβ", "strasse", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.orderBy("i").select(strip(F.col("t")), split_lines(F.col("t")), fold(F.col("t"))).collect()
+    assert [list(row) for row in got] == [[t.strip(), t.splitlines(), f] for t, f in zip(texts, folded)]

@@ -31,13 +31,30 @@ def test_layout(spark):
     assert [r.text for r in layout.glyphs_to_lines(jump).orderBy("line_no").collect()] == ["a", "b"]
 
 
+def carried(spark, bodies, notes=None):
+    rows = [("k", i, b, (notes or [""] * len(bodies))[i]) for i, b in enumerate(bodies)]
+    return [r.text for r in layout.carried_pages(spark.createDataFrame(rows, "book_id string, page_no int, body string, footnotes string")).orderBy("page_no").collect()]
+
+
 def test_books(spark):
     pages = spark.createDataFrame([("k", 1, "era ne", ""), ("k", 2, "cessário um\nimpor\x02", "nota 1"), ("k", 3, "tante", "")], "book_id string, page_no int, body string, footnotes string")
     assert layout.assemble_books(pages).first().raw_text == "era\fnecessário um\n\n\nnota 1\fimportante"
-    assert layout.join_pages(["era um", "cessário"], ["", ""]) == ["era um", "cessário"]
-    assert layout.infer_breaks("Fim.\nNovo\nTÍTULO GRANDE\nignorá-\n-lo") == "Fim.\n\nNovo\n\nTÍTULO GRANDE\n\nignorá-lo"
-    frags = spark.createDataFrame([(1, "fo", 10.0, 10.0, 0.0, 10.0), (1, "forma", 10.0, 10.0, 5.0, 30.0), (1, "boa", 10.0, 10.0, 40.0, 55.0), (1, "topo", 50.0, 10.0, 0.0, 9.0)], "page_id bigint, text string, center_y double, height double, left double, right double")
-    assert layout.fragments_to_text(frags).first().text == "topo\nforma boa"
+    assert carried(spark, ["era um", "cessário"]) == ["era um", "cessário"]
+    assert carried(spark, ["um co\x02", "nhe\x02", "cimento"]) == ["um", "", "conhecimento"]
+    assert carried(spark, ["era ne", "Outro"], ["nota", ""]) == ["era ne\n\nnota", "Outro"]
+    assert carried(spark, ["aqui impor\x02"]) == ["aquiimpor"] and carried(spark, ["a in\x02terna xy"]) == ["a interna xy"]
+    assert carried(spark, [None, "", "fim"]) == ["", "", "fim"]
+    assert layout.assemble_books(pages.limit(0)).count() == 0
+
+
+def test_breaks(spark):
+    cases = {
+        "Fim.\nNovo\nTÍTULO GRANDE\nignorá-\n-lo": "Fim.\n\nNovo\n\nTÍTULO GRANDE\n\nignorá-lo", "um\ndois\n": "um\ndois", "Fim.\n\nNovo": "Fim.\n\nNovo", "disse:\n— Sim": "disse:\n— Sim", "disse.\n— Sim": "disse.\n\n— Sim",
+        "": "", "fim.\nnovo": "fim.\nnovo", "AAAA-\n-lo": "AAAA-\n\n-lo", "  a  \n b ": "a\nb",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r[0]: r[1] for r in df.select("t", layout.with_breaks(F.col("t"))).collect()}
+    assert got == {**cases, None: None}
 
 
 class Pages:

@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import pytest
-import sequential
 
 from palimpsest.operators.structure import apply_structure
 
@@ -35,10 +34,41 @@ def test_null_and_long(spark):
     assert rows[0].structured_text is None and rows[0].structured_stats is None and rows[2].structured_stats.toc_entries == 5000
 
 
+#: Paragraphs with what becomes of them outside a table of contents, in plain mode: (text, kind, rendered).
+KNOWN = [
+    ("1. Nova seção", "h2", "## 1. Nova seção"), ("1.2 Sub", "h3", "### 1.2 Sub"), ("12.5 milhões", "h3", "### 12.5 milhões"), ("Preâmbulo", "h1", "# Preâmbulo"), ("A ORIGEM DAS COISAS", "h1", "# A ORIGEM DAS COISAS"),
+    ("ISBN 978 COPYRIGHT", "prose", "ISBN 978 COPYRIGHT"), ("IL - OS MUNDOS", "h1", "# II. — OS MUNDOS"), ("Outro título.", "prose", "Outro título."), ("x" * 130, "prose", "x" * 130), (LONG, "prose", LONG.strip()), ("# já marcado", "prose", "# já marcado"),
+    ("Nota com 3 dígitos", "prose", "Nota com 3 dígitos"), ("1. 2773", "prose", "1. 2773"), ("linha, fim.", "prose", "linha, fim."),
+]
+
+
 @pytest.mark.parametrize("enhanced", [False, True])
-def test_against_sequential_model(spark, enhanced):
+def test_any_mix_of_known_paragraphs(spark, enhanced):
     r = random.Random(1)
-    bits = ["SUMÁRIO", "Índice geral", "Título um .... 12", "Capítulo dois, 31", ".... 44", ", 312", "1. Nova seção", "1.2 Sub", "12.5 milhões", "4. Nota, op. cit.", "• item um", "*", "Preâmbulo", "A ORIGEM DAS COISAS", "ISBN 978 COPYRIGHT", "IL - OS MUNDOS", "Um Título Curto", "Outro título.", "x" * 130, LONG, "# já marcado", "Nota com 3 dígitos", "   ", "1. 2773"]
-    texts = ["\n\n".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(800)]
-    for row, t in zip(structured(spark, texts, enhanced), texts):
-        assert (row.structured_text, row.structured_stats.asDict()) == sequential.structure(t, enhanced), repr(t)
+    picks = [[r.choice(KNOWN) for _ in range(r.randint(0, 14))] for _ in range(300)]
+    for row, own in zip(structured(spark, ["\n\n".join(p[0] for p in x) for x in picks], enhanced), picks):
+        assert row.structured_text == "\n\n".join(p[2] for p in own) + ("\n" if own else "")
+        stats = row.structured_stats.asDict()
+        assert {k: stats[k] for k in ("h1", "h2", "h3", "h4", "prose", "toc_entries")} == {k: sum(p[1] == k for p in own) for k in ("h1", "h2", "h3", "h4", "prose", "toc_entries")}
+        assert stats["heading_ocr_corrections"] == sum(p[0].startswith("IL") for p in own)
+
+
+@pytest.mark.parametrize("enhanced", [False, True])
+def test_contents_end_at_the_first_long_paragraph(spark, enhanced):
+    r = random.Random(2)
+    entries = [[f"Parte {w} .... {k}" for k, w in enumerate(r.sample(["um", "dois", "três", "quatro"], r.randint(1, 4)))] for _ in range(40)]
+    texts = ["\n\n".join(["Antes.", "ÍNDICE GERAL", *e, LONG, "Depois, 31"]) for e in entries]
+    for row, e in zip(structured(spark, texts, enhanced), entries):
+        assert row.structured_text.split("\n\n") == ["Antes.", "# ÍNDICE GERAL", *(f"- {x}" for x in e), LONG.strip(), "Depois, 31\n"]
+        assert row.structured_stats.toc_entries == len(e) and row.structured_stats.prose == 3
+
+
+def test_counters_sum_to_paragraphs(spark):
+    r = random.Random(5)
+    bits = [*(k[0] for k in KNOWN), "SUMÁRIO", "Título um .... 12", "Capítulo dois, 31", ".... 44", ", 312", "4. Nota, op. cit.", "• item um", "*", "Um Título Curto", "   "]
+    texts = ["\n\n".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(300)]
+    for enhanced in (False, True):
+        for row, t in zip(structured(spark, texts, enhanced), texts):
+            s, n = row.structured_stats, len([p for p in row.structured_text.split("\n\n") if p.strip()])
+            assert s.h1 + s.h2 + s.h3 + s.h4 + s.toc_entries + s.prose + s.list_items == n and s.title_case_headings <= s.h2
+            assert enhanced or n == len([p for p in t.split("\n\n") if p.strip()])
