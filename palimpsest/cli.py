@@ -16,46 +16,87 @@ from pyspark.sql import functions as F
 
 from .operators import batch, metadata, review
 from .plans import pipeline
-from .runtime import ship
+from .runtime import materialize, ship
 from .sources import files, ledger
 
 
+#: What a reviewer is asked for, as it stands in the manifests.
+INSTRUCTIONS = "Correct spelling, accents, agreement and punctuation of every chunk; keep meaning, order and headings; join the chunks and import them as one file."
+
+
 def _named(what: str):
     module, _, name = what.partition(":")
     found = getattr(importlib.import_module(module), name)
     return found() if isinstance(found, type) else found
 
 
+def _slugged(df: DataFrame) -> DataFrame:
+    if "meta_slug" not in df.columns:
+        df = df.withColumn("meta_slug", metadata.slug_part(metadata.file_stem(F.col("name")), 120))
+    return df.withColumnRenamed("meta_slug", "slug")
+
+
 def _raw(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """(name, raw_text, engine, ...) of the folder: text files, or PDF pages through the backend."""
+    """(name, raw_text, engine, slug, first, last, attempts, error, ...) of the folder: text files, or PDF pages through the backends.
+
+    A book that could not be read has an error instead of a text.
+    """
     if not args.backend:
-        return files.read_texts(spark, args.input).withColumn("input_pdf", F.col("path"))
-    pages = files.read_pages(spark, args.input, _named(args.backend), spec=args.pages, full=args.full)
-    books = files.books_from_pages(pages).withColumn("engine", F.lit("native"))
-    cards = files.first_pages(pages)
-    named = books.join(cards, "path", "left").withColumn("name", F.regexp_extract("path", r"([^/]*)\z", 1))
-    return metadata.extract_metadata(named, "text", "name").drop("text").withColumnRenamed("path", "input_pdf")
+        rows = files.read_texts(spark, args.input).withColumn("input_pdf", F.col("path"))
+        return _slugged(rows.withColumns({"first": F.lit(None).cast("int"), "last": F.lit(None).cast("int"), "attempts": F.lit(1), "error": F.lit(None).cast("string")}))
+    pages = materialize(files.adaptive_books(spark, args.input, _named(args.backend), _named(args.ocr) if args.ocr else None, spec=args.pages, full=args.full, retries=args.retries), "pages")
+    read = pages.filter("error is null")
+    about = pages.groupBy("path").agg(F.first("engine").alias("engine"), F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.max("attempts").alias("attempts"), F.max("error").alias("error"))
+    books = about.join(files.books_from_pages(read, args.separator), "path", "left").join(files.first_pages(read), "path", "left")
+    named = books.withColumn("name", F.regexp_extract("path", r"([^/]*)\z", 1))
+    return _slugged(metadata.extract_metadata(named, "text", "name").drop("text").withColumnRenamed("path", "input_pdf"))
+
+
+def _process(raw: DataFrame, args: argparse.Namespace) -> DataFrame:
+    return pipeline.process(raw, enhanced=args.enhanced, reflow=not args.no_reflow, drop_leading_pages=args.drop_leading_pages)
+
+
+def _artefacts(done: DataFrame) -> DataFrame:
+    """Where a book's raw and cleaned texts and its report belong: a folder for its pages."""
+    pages = F.when(F.col("first").isNotNull(), batch.pages_slug(F.col("first"), F.col("last"))).otherwise(F.lit("texto"))
+    return done.withColumn("pages_dir", F.concat_ws("/", "slug", pages))
 
 
 def extract(spark: SparkSession, args: argparse.Namespace) -> int:
-    pipeline.process(_raw(spark, args), enhanced=args.enhanced).write.mode("overwrite").parquet(f"{args.output}/books")
+    """The books of a folder; one that cannot be read fails the command."""
+    raw = _raw(spark, args)
+    bad = raw.filter("error is not null").select("name", "error").first()
+    if bad:
+        raise ValueError(f"{bad.name}: {bad.error}")
+    _artefacts(_process(raw, args)).write.mode("overwrite").parquet(f"{args.output}/books")
     return 0
 
 
 def batch_extract(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Books without a success on record; their rows are added to the ledger when their texts are written."""
-    raw = _raw(spark, args)
-    if "meta_slug" not in raw.columns:
-        raw = raw.withColumn("meta_slug", metadata.slug_part(metadata.file_stem(F.col("name")), 120))
-    raw = raw.withColumnRenamed("meta_slug", "slug")
+    """Books without a success on record, if so asked, else all; every book taken gets a row in the ledger, the failed with their error, when the texts are written.
+
+    With ``--fail-fast`` nothing is cleaned if any book could not be read. Status 1 tells that a book failed.
+    """
+    raw = materialize(_raw(spark, args), "raw")
     past = ledger.read_ledger(spark, f"{args.output}/ledger")
     wanted = batch.to_process(raw, past) if args.resume else raw
     stamp = spark.sql("select date_format(current_timestamp(), 'yyyy-MM-dd_HH-mm-ss')").first()[0]
     out = f"{args.output}/books/batch={stamp}"
-    pipeline.process(wanted, enhanced=args.enhanced).write.parquet(out)
-    done = spark.read.parquet(out)
-    ledger.append_ledger(done.select(F.lit(stamp).alias("batch_id"), "name", "slug", "input_pdf", F.lit("success").alias("status"), F.lit(1).alias("attempts"), F.lit(out).alias("output_dir"), F.sha2("structured_text", 256).alias("cleaned_sha256"), F.current_timestamp().alias("recorded_at")), f"{args.output}/ledger")
-    return 0
+    failed = wanted.filter("error is not null")
+    common = [F.lit(stamp).alias("batch_id"), "name", "slug", "input_pdf", F.when(F.col("first").isNotNull(), F.struct("first", "last")).alias("pages"), "attempts", F.current_timestamp().alias("recorded_at")]
+    rows = failed.select(*common, F.lit("failed").alias("status"), F.left("error", F.lit(files.ERROR_CHARS)).alias("error"))
+    any_failed = not failed.isEmpty()
+    if not (args.fail_fast and any_failed):
+        _artefacts(_process(wanted.filter("error is null"), args)).write.parquet(out)
+        done = spark.read.parquet(out)
+        if args.checker:
+            proposals = _checked(done.select("name", F.col("structured_text").alias("text")), args)
+            review.suggestions_record(proposals).write.mode("overwrite").parquet(f"{args.output}/suggestions/batch={stamp}")
+        known = {"output_dir": F.concat_ws("/", F.lit(out), "pages_dir"), "cleaned_sha256": F.sha2("structured_text", 256), "lt_local": F.lit("done" if args.checker else None).cast("string")}
+        known |= {"metadata_confidence": F.col("meta_confidence")} if "meta_confidence" in done.columns else {}
+        rows = rows.unionByName(done.withColumns(known).select(*common, F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"), *known), allowMissingColumns=True)
+    ledger.append_ledger(rows, f"{args.output}/ledger")
+    return int(any_failed)
 
 
 def _books(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -65,18 +106,23 @@ def _books(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def prepare_review(spark: SparkSession, args: argparse.Namespace) -> int:
     books = _books(spark, args)
     review.chunk_rows(books, ["name"], "text", args.size).write.mode("overwrite").parquet(f"{args.output}/chunks")
-    review.manifest(books, "text", size=args.size).write.mode("overwrite").parquet(f"{args.output}/manifests")
+    review.dated_manifest(books, "text", size=args.size, instructions=INSTRUCTIONS).write.mode("overwrite").parquet(f"{args.output}/manifests")
     return 0
 
 
-def check(spark: SparkSession, args: argparse.Namespace) -> int:
-    books = _books(spark, args)
+def _checked(books: DataFrame, args: argparse.Namespace) -> DataFrame:
+    """Books with the matches of the checker and the proposal made of them."""
     found = review.check_texts(books, ["name"], "text", _named(args.checker), size=args.size)
     kind = "array<struct<offset:bigint,length:bigint,message:string,replacements:array<struct<value:string>>>>"
     lists = found.groupBy("name").agg(F.collect_list(F.struct("offset", "length", "message", "replacements")).alias("matches"))
     rows = books.join(lists, "name", "left").withColumn("matches", F.coalesce("matches", F.array().cast(kind)))
-    done = rows.withColumn("p", review.apply_suggestions(F.col("text"), F.col("matches"))).select("name", "text", "matches", "p.*")
+    return rows.withColumn("p", review.apply_suggestions(F.col("text"), F.col("matches"))).select("name", "text", "matches", "p.*")
+
+
+def check(spark: SparkSession, args: argparse.Namespace) -> int:
+    done = _checked(_books(spark, args), args)
     review.import_correction(done, "text", "proposal").write.mode("overwrite").parquet(f"{args.output}/proposals")
+    review.suggestions_record(done).write.mode("overwrite").parquet(f"{args.output}/suggestions")
     return 0
 
 
@@ -103,6 +149,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--input", help="folder to read; for export, the folder to write files into")
     p.add_argument("--output", required=True, help="folder of the tables")
     p.add_argument("--backend", help="PDF backend, module:attribute; without it text files are read")
+    p.add_argument("--ocr", help="optical reader, module:attribute, for books with too little text of their own")
+    p.add_argument("--separator", default="\f", help="what stands between native pages")
+    p.add_argument("--retries", type=int, default=0, help="further attempts at a book that cannot be read")
+    p.add_argument("--fail-fast", action="store_true", help="clean nothing if a book cannot be read")
+    p.add_argument("--no-reflow", action="store_true", help="keep the lines of paragraphs")
+    p.add_argument("--drop-leading-pages", type=int, default=0)
     p.add_argument("--checker", help="function from a chunk to matches, module:attribute")
     p.add_argument("--pages", help="page range such as 21-30")
     p.add_argument("--full", action="store_true", help="whole books instead of a sample")

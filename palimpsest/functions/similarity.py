@@ -33,9 +33,3 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def unified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([diff(x, y) for x, y in zip(a, b)], dtype="object")
-
-
-def ratio_at_most(a, b):
-    """An upper bound of the ratio from the lengths alone, to spare calls that cannot reach a threshold."""
-    la, lb = F.length(a), F.length(b)
-    return F.when(la + lb == 0, F.lit(1.0)).otherwise(2.0 * F.least(la, lb) / (la + lb))

@@ -6,6 +6,8 @@ forgotten by later rows about skipping it. Exact repeats of a row count once.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,21 @@ def resolve_pages(spec: Column, total: Column, full: Column) -> Column:
     return F.when(total < 1, bad("no pages: ")).when(full, F.sequence(F.lit(1), total)).when(F.size(wanted) > 0, wanted).otherwise(bad("range begins after the last page: "))
 
 
+def wanted_pages(spec: str | None, total: int, full: bool = False) -> list[int]:
+    """The same as ``resolve_pages``, for a reader that has a book in its hands; raises ValueError."""
+    if total < 1:
+        raise ValueError(f"no pages: {total}")
+    if full:
+        return list(range(1, total + 1))
+    m = re.fullmatch(r"\+?(\d+)(?:\s*-\s*(\d+))?", (SAMPLE if spec is None else spec).strip())
+    first, last = (int(m[1]), int(m[2] or m[1])) if m else (0, 0)
+    if not 1 <= first <= last:
+        raise ValueError(f"invalid page range: {spec}")
+    if first > total:
+        raise ValueError(f"range begins after the last page: {total}")
+    return list(range(first, min(last, total) + 1))
+
+
 def pages_slug(first: Column, last: Column) -> Column:
     return F.format_string("pages-%03d-%03d", first, last)
 

@@ -53,6 +53,16 @@ def chunk_rows(df: DataFrame, id_cols: list[str], text_col: str, size: int) -> D
     return c.select(*id_cols, F.posexplode(F.arrays_zip(F.col("__c").alias("chunk"), F.col("__o").alias("char_offset"))).alias("chunk_no", "x")).select(*id_cols, "chunk_no", "x.char_offset", "x.chunk")
 
 
+def suggestions_record(done: DataFrame, engine: str = "local") -> DataFrame:
+    """(name, engine, source_sha256, total_matches, applied_in_proposal, recorded_at, matches) of texts with their matches and proposals."""
+    return done.select("name", F.lit(engine).alias("engine"), F.sha2("text", 256).alias("source_sha256"), F.size("matches").alias("total_matches"), F.col("applied").alias("applied_in_proposal"), F.current_timestamp().alias("recorded_at"), "matches")
+
+
+def dated_manifest(df: DataFrame, text_col: str, *, size: int = MANUAL_CHUNK, language: str = "pt-BR", instructions: str | None = None) -> DataFrame:
+    """``manifest`` with the time it was made and the instructions for the reviewer."""
+    return manifest(df, text_col, size=size, language=language).withColumns({"created_at": F.current_timestamp(), "instructions": F.lit(instructions).cast("string")})
+
+
 def manifest(df: DataFrame, text_col: str, *, size: int = MANUAL_CHUNK, language: str = "pt-BR") -> DataFrame:
     """``df`` with the review manifest's fields: hash, counts, limits and chunk sizes."""
     chunks = chunk_text(F.col(text_col), size)

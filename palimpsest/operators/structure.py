@@ -172,8 +172,8 @@ def apply_structure(df: DataFrame, text_col: str, *, enhanced: bool = False, pre
     return df.withColumn(f"{prefix}text", F.col("__pal_both.text")).withColumn(f"{prefix}stats", F.col("__pal_both.stats")).drop("__pal_blocks", "__pal_both")
 
 
-def clean_and_structure(df: DataFrame, text_col: str, *, enhanced: bool = False) -> DataFrame:
-    """Cleanup, then structure."""
+def clean_and_structure(df: DataFrame, text_col: str, *, enhanced: bool = False, **how: bool | int) -> DataFrame:
+    """Cleanup (``how`` as of ``clean_text``), then structure."""
     from .cleanup import clean_text
 
-    return apply_structure(clean_text(df, text_col, enhanced=enhanced), "clean_text", enhanced=enhanced)
+    return apply_structure(clean_text(df, text_col, enhanced=enhanced, **how), "clean_text", enhanced=enhanced)

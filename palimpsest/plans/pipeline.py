@@ -10,9 +10,9 @@ from ..operators.structure import clean_and_structure
 from ..sources.ledger import report
 
 
-def process(extractions: DataFrame, *, enhanced: bool = False) -> DataFrame:
+def process(extractions: DataFrame, *, enhanced: bool = False, reflow: bool = True, drop_leading_pages: int = 0) -> DataFrame:
     """Extractions with cleaned and structured text, both counters, warnings and the JSON report."""
-    return report(clean_and_structure(extractions, "raw_text", enhanced=enhanced), "raw_text")
+    return report(clean_and_structure(extractions, "raw_text", enhanced=enhanced, reflow_paragraphs=reflow, drop_leading_pages=drop_leading_pages), "raw_text")
 
 
 def resume(extractions: DataFrame, ledger: DataFrame, *, enhanced: bool = False) -> DataFrame:

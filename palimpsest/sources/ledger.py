@@ -1,6 +1,7 @@
 """The ledger of batch runs, and the files that a run leaves.
 
-The ledger is a Parquet folder that only grows. A missing or unreadable ledger holds nothing.
+The ledger is a Parquet folder that only grows. A missing ledger holds nothing; one that cannot be read raises, so that
+nothing is done again for a fault of the storage.
 """
 
 from __future__ import annotations
@@ -17,20 +18,15 @@ SCHEMA = "batch_id string, name string, slug string, input_pdf string, pages str
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     schema = StructType.fromDDL(SCHEMA)
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    known = [c for c in StructType.fromDDL(SCHEMA).fieldNames()]
-    rows.select(*(F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in known)).write.mode("append").parquet(path)
-
-
-def write_books(df: DataFrame, path: str, slug_col: str = "slug") -> None:
-    """Texts and reports, partitioned by book."""
-    df.write.partitionBy(slug_col).mode("overwrite").parquet(path)
+    fields = StructType.fromDDL(SCHEMA).fields
+    rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("append").parquet(path)
 
 
 def report(df: DataFrame, raw_col: str, clean_prefix: str = "clean_", structured_prefix: str = "structured_") -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions.registry import register
+from palimpsest.functions.registry import cleaned_view, register
 from palimpsest.operators import layout
 from palimpsest.plans import pipeline
 from palimpsest.sources import files, ledger
@@ -89,6 +89,10 @@ def test_sources(spark, tmp_path):
 
 def test_ledger_files(spark, tmp_path):
     path = str(tmp_path / "ledger")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        ledger.read_ledger(spark, str(tmp_path / "broken")).collect()
     assert ledger.read_ledger(spark, path).count() == 0
     ledger.append_ledger(spark.createDataFrame([("b", "s", "success")], "batch_id string, slug string, status string"), path)
     ledger.append_ledger(spark.createDataFrame([("b", "t", "failed")], "batch_id string, slug string, status string"), path)
@@ -126,4 +130,8 @@ def test_stream_files_in_no_order_of_time(spark, tmp_path):
 def test_registry(spark):
     register(spark)
     assert spark.sql("select seq_ratio('abcd', 'bcde')").first()[0] == 0.75
+    assert list(spark.sql("select strip_text('\u00a0 a b\u2003'), fold(' ÀÇã Straße ')").first()) == ["a b", "aca strasse"]
+    spark.createDataFrame([(1, "o conheci-\nmento")], "k int, t string").createOrReplaceTempView("raw_rows")
+    cleaned_view(spark, "raw_rows", "t", "clean_rows")
+    assert spark.sql("select clean_text from clean_rows").first()[0] == "o conhecimento\n"
     assert [r.chunk for r in spark.sql("select * from chunk_rows('aa\n\nbbb', 3)").collect()] == ["aa", "bbb"]
