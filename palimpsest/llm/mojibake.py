@@ -163,33 +163,45 @@ class Repairer:
             return out
         cuts = np.flatnonzero(np.diff(hot) > GAP + 1) + 1
         for own in np.split(hot, cuts):
-            lo, hi = self._segment(s, int(own[0]), int(own[-1]))
-            while lo > 0 and (flat[lo - 1] >= 0x80 or odd[lo - 1]):
-                lo -= 1
-            while hi < len(flat) and (flat[hi] >= 0x80 or odd[hi]):
-                hi += 1
-            t = int(np.searchsorted(starts, lo, side="right")) - 1
-            first, last = int(starts[t]), int(starts[t + 1]) - 1
-            span = (max(lo, first) - first, min(hi, last) - first)
-            mine = out.setdefault(t, [])
-            if mine and span[0] < mine[-1][1]:
-                mine[-1] = (mine[-1][0], max(mine[-1][1], span[1]))
-            elif span[0] < span[1]:
-                mine.append(span)
+            for lo, hi in self._segments(s, int(own[0]), int(own[-1])):
+                self._cover(out, flat, odd, starts, lo, hi)
         return out
 
     @staticmethod
-    def _segment(s: np.ndarray, first: int, last: int) -> tuple[int, int]:
-        """The characters of the maximum-scoring segment of pairs within [first, last]."""
-        best = total = float(s[first]) - STRANGE
-        lo, begin, end = first, first, first
-        for k in range(first + 1, last + 1):
-            if total <= 0:
-                total, lo = 0.0, k
-            total += float(s[k]) - STRANGE
-            if total > best:
-                best, begin, end = total, lo, k
-        return begin, end + 2
+    def _cover(out: dict[int, list[tuple[int, int]]], flat: np.ndarray, odd: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> None:
+        """Adds the range of a segment, widened over the odd characters beside it, to its text's ranges."""
+        while lo > 0 and (flat[lo - 1] >= 0x80 or odd[lo - 1]):
+            lo -= 1
+        while hi < len(flat) and (flat[hi] >= 0x80 or odd[hi]):
+            hi += 1
+        t = int(np.searchsorted(starts, lo, side="right")) - 1
+        first, last = int(starts[t]), int(starts[t + 1]) - 1
+        span = (max(lo, first) - first, min(hi, last) - first)
+        mine = out.setdefault(t, [])
+        if mine and span[0] < mine[-1][1]:
+            mine[-1] = (mine[-1][0], max(mine[-1][1], span[1]))
+        elif span[0] < span[1]:
+            mine.append(span)
+
+    @staticmethod
+    def _segments(s: np.ndarray, first: int, last: int) -> list[tuple[int, int]]:
+        """The characters of all maximal scoring segments of pairs within [first, last]: the best one, and those of what is left at its sides."""
+        out, todo = [], [(first, last)]
+        while todo:
+            first, last = todo.pop()
+            best = total = 0.0
+            lo = begin = first
+            end = first - 1
+            for k in range(first, last + 1):
+                if total <= 0:
+                    total, lo = 0.0, k
+                total += float(s[k]) - STRANGE
+                if total > best:
+                    best, begin, end = total, lo, k
+            if end >= begin and best > 0:
+                out.append((begin, end + 2))
+                todo += [(a, b) for a, b in ((first, begin - 1), (end + 1, last)) if a <= b]
+        return sorted(out)
 
     def odd(self, left: str, run: str) -> bool:
         """Whether a run holds a rare letter, a sign inside a word, or a capital after a small letter."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import table
@@ -101,6 +101,17 @@ def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unused(p6_containers(spark, sf_dir), _capacities(spark, sf_dir))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: every document placed, no bin over its capacity, only oversized documents cut, no fewer bins than the tokens need."""
+    sizes, packed = _capacities(spark, sf_dir), p6_containers(spark, sf_dir)
+    capacity = F.create_map(*(x for name, c in sorted(sizes.items()) for x in (F.lit(name), F.lit(int(c)))))[F.col("container")]
+    bins = packed.filter("bin_id > 0").groupBy("container", "bin_id").agg(F.sum("tokens").alias("tokens"), F.max("bin_tokens").alias("told"))
+    full = bins.groupBy("container").agg(F.count_if((F.col("tokens") > capacity) | (F.col("tokens") != F.col("told"))).alias("wrong_bins"), (F.count("*") >= F.ceil(F.sum("tokens") / F.max(capacity))).alias("bins_enough"))
+    docs = packed.groupBy("container", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    placed = docs.groupBy("container").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("cut_needlessly"))
+    return placed.join(full, "container")
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> list[dict]:
     return [r.asDict() for r in table(spark, sf_dir, "mix_targets").orderBy("source").collect()]  # thirteen fixed rows
 
@@ -114,6 +125,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(tokens.token_counts(table(spark, sf_dir, "documents"), "text", "doc_id", "source"), _targets(spark, sf_dir))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every source with a target, its share among the sources that have documents, and whether the mixture keeps share and repeats.
+
+    A share is reached if the source's tokens lie within two documents, the largest there is, of it: documents are whole.
+    """
+    mixed = p7_mix(spark, sf_dir)
+    used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"), F.max("repeats").alias("repeats"))
+    rows = table(spark, sf_dir, "mix_targets").join(F.broadcast(used), "source", "left").na.fill(0, ["tokens", "largest", "repeats"])  # thirteen fixed rows
+    every = Window.partitionBy()
+    share = F.when(F.col("tokens") > 0, F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(every)).otherwise(0.0)
+    off = F.abs(F.col("tokens") - share * F.sum("tokens").over(every))
+    return rows.select("source", F.round(share, 6).alias("share"), (off <= 2 * F.max("largest").over(every)).alias("reached"), (F.col("repeats") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, windows and flag of every document."""
     return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"), "doc_id", "source")
@@ -129,7 +154,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("flagged"), F.avg(F.col("abusive").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p4_found, p4_texts, p5_found, p5_texts, p6_containers, p6_unused, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_groups, p3_found, p3_text_pieces, p3_match_pieces, p4_found, p4_texts, p5_found, p5_texts, p6_containers, p6_unused, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)}
 
 _P3 = """
 select 'text' as item_kind, cleanup_id as item_id from cleanup_results join review_profiles using (profile) where length(text) > max_chars
@@ -143,4 +168,9 @@ s as (select id, len(ts) as n, unnest(ts) as x from t where len(ts) >= 30),
 c as (select a.id as ia, b.id as ib, a.n as na, b.n as nb, count(*) as both_n from s a join s b on a.x = b.x and a.id < b.id group by all)
 select ia as extraction_id_a, ib as extraction_id_b from c where both_n >= 0.5 * (na + nb - both_n)
 """
-SQL: dict[str, str] = {"p2_found": _P2, "p3_found": _P3}
+_P6 = "select container, (select count(distinct doc_id) from documents) as documents, 0 as cut_needlessly, 0 as wrong_bins, true as bins_enough from container_sizes"
+_P7 = """
+with d as (select distinct source from documents where length(text) > 0)
+select source, round(case when d.source is null then 0 else target_share / sum(target_share) filter (d.source is not null) over () end, 6) as share, true as reached, true as repeats_kept from mix_targets left join d using (source)
+"""
+SQL: dict[str, str] = {"p2_found": _P2, "p3_found": _P3, "p6_checks": _P6, "p7_checks": _P7}
