@@ -183,3 +183,65 @@ SQL: dict[str, str] = {
     "arrivals": "select time_bucket(interval 1 day, received_at) as \"from\", engine, count(*) as texts, sum(length(raw_text)) as chars from extraction_results where received_at is not null group by 1, 2",
 }
 SQL["body_lines"] = f"select extraction_id, count(*) as n from (select extraction_id, page_no, line_no from ({_LINES}) where {strip('line')} <> '') anti join ({SQL['header_lines']}) using (extraction_id, page_no, line_no) group by 1"
+
+
+def _clean_text(enhanced: bool) -> str:
+    """The whole cleanup as a chain of common table expressions over lines.
+
+    Pages that bear the same printed number are compared by a sequence matcher, which SQL lacks; the twin holds where no page of a
+    text repeats another's number, as in the test tables.
+    """
+    lines_of = f"unnest(range(len({split_lines('page')})))::int as line_no, unnest({split_lines('page')}) as line"
+    without_number = f"case when regexp_matches(s, '{LEADING}') then {fold(f'''regexp_extract(s, '{LEADING}', 1)''')} end"
+    marked = f"regexp_replace(regexp_replace(t5, '({S})', chr(57344) || '\\1' || chr(57345), 'g'), '(^|' || chr(57345) || ')[|](' || chr(57344) || '|$)', '\\1\\2', 'g')"
+    section = rf"([.!?»]){S}+(\p{{Nd}}{{1,2}}\.{S}+[A-ZÁÀÂÃÉÊÍÓÔÕÚÇ])"
+    parted = f"regexp_replace(t6, '{section}', '\\1' || chr(10) || chr(10) || '\\2', 'g')"
+    opened = rf"^{S}*[0-9\p{{Nd}}]{{1,4}}{S}+([a-zà-ÿ])"
+    flowing = f"array_to_string(list_filter(list_transform(string_split(t8, chr(10) || chr(10)), lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), ' ')), lambda p: p <> ''), chr(10) || chr(10)) || chr(10)"
+    spaced = strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(t9, '[ \\t]+', ' ', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n[ \\t]+', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
+    unnumbered = join(f"list_filter(ls, lambda x: not regexp_matches({strip('x')}, '{NUMBER}'))")
+    sought, bottom, foot_heads, more_heads, t4, t8 = f"[{fold('s')}, {without_number}]", "n or g", "", "", "t4", "t8_plain"
+    if enhanced:
+        sought = f"[{fold('s')}, {without_number}, case when regexp_matches(s, '{TRAILING}') then {fold(f"""regexp_extract(s, '{TRAILING}', 1)""")} end]"
+        bottom, foot_heads = "n or g or h", " + count_if(foot and h and not n and not g)"
+        more_heads = f" union select extraction_id, header from (select extraction_id, unnest([{_bare('ls[1]')}, {_bare('ls[-1]')}]) as header from (select extraction_id, {_NONBLANK} as ls from paged) where len(ls) > 0) where header <> '' group by all having count(*) >= 2"
+        t4 = "replace(t4, chr(2) || chr(10), '')"
+        t8 = join(f"list_transform({split_lines('t8_plain')}, lambda x: case when length({strip('x')}) <= 90 and regexp_matches({strip('x')}, '{TOC}') then chr(10) || x || chr(10) else x end)")
+    lost = count("out", chr(92) + "x{fffd}")
+    parts = {
+        "s2": "select extraction_id, raw_text, nfc_normalize(" + "translate(raw_text, '“”‘’', '\"\"''''')" + ") as t2 from extraction_results where raw_text is not null",
+        "s3": f"select *, regexp_replace(t2, '{MARKER}', '', 'g') as t3, {count('t2', MARKER)} as page_markers_removed from s2",
+        "paged": f"select extraction_id, unnest(range(len(string_split(t3, {FF}))))::int as page_no, unnest(string_split(t3, {FF})) as page from s3 where contains(t3, {FF})",
+        "heads": f"select extraction_id, header from (select extraction_id, {fold('ls[1]')} as header from (select extraction_id, {_NONBLANK} as ls from paged)) where header <> '' group by all having count(*) >= 2{more_heads}",
+        "kept": f"select *, {strip('line')} as s from (select extraction_id, page_no, line_no, {rstrip('line')} as line from (select extraction_id, page_no, {lines_of} from paged)) where not regexp_matches(line, '{GARBAGE}')",
+        "likely": f"select extraction_id, page_no, line_no from (select extraction_id, page_no, line_no, unnest({sought}) as header from kept where s <> '') semi join heads using (extraction_id, header)",
+        "told": f"select k.*, l.line_no is not null as h, regexp_matches(s, '{NUMBER}') as n, regexp_matches(s, '{EDGE}') as g from kept k left join (select distinct * from likely) l using (extraction_id, page_no, line_no)",
+        "following": "select *, lead(h) over (partition by extraction_id, page_no order by line_no) as next_h from told where s <> ''",
+        "topped": "select *, sum((not (h or (length(s) <= 3 and coalesce(next_h, false))))::int) over (partition by extraction_id, page_no order by line_no) = 0 as top from following",
+        "footed": f"select *, not top and sum((top or not ({bottom}))::int) over (partition by extraction_id, page_no order by line_no desc) = 0 as foot from topped",
+        "edges": f"select extraction_id, page_no, min(line_no) filter (not top and not foot) as a, max(line_no) filter (not top and not foot) as b, count_if(top and h){foot_heads} as hs, count_if(foot and n) as ns, count_if(top and not h) + count_if(foot and g and not n) as gs from footed group by all",
+        "bodies": f"select t.*, case when t.line_no = e.a then regexp_replace(t.line, '^{S}+', '') else t.line end as x from told t join edges e using (extraction_id, page_no) where t.line_no between e.a and e.b",
+        "rest": "select extraction_id, string_agg(x, chr(10) order by page_no, line_no) filter (not h and not n) as t4, count_if(h) as hs, count_if(n and not h) as ns from bodies group by 1",
+        "gone": "select extraction_id, sum(hs) as hs, sum(ns) as ns, sum(gs) as gs from edges group by 1",
+        "plain": f"select extraction_id, {unnumbered} as t4, len(list_filter(ls, lambda x: regexp_matches({strip('x')}, '{NUMBER}'))) as ns from (select extraction_id, {split_lines('t3')} as ls from s3 where not contains(t3, {FF}))",
+        "s4": f"select s3.*, coalesce(r.t4, p.t4, '') as t4, coalesce(g.hs, 0) + coalesce(r.hs, 0) as headers_removed, coalesce(p.ns, coalesce(g.ns, 0) + coalesce(r.ns, 0)) as page_numbers_removed, coalesce(g.gs, 0) as edge_garbage_removed from s3 left join rest r using (extraction_id) left join gone g using (extraction_id) left join plain p using (extraction_id)",
+        "s4b": f"select * exclude (t4), {t4} as t4 from s4",
+        "s5": f"select *, regexp_replace(t4, '[{INVISIBLE}]', '', 'g') as t5 from s4b",
+        "s6": f"select *, regexp_replace({marked}, '[' || chr(57344) || chr(57345) || ']', '', 'g') as t6 from s5",
+        "s7": f"select *, {count('t6', section)} as embedded_sections_split, {split_lines(f'({parted})')} as every_line from s6",
+        "s7b": f"select *, list_filter(every_line, lambda x: not regexp_matches(x, '{GARBAGE}')) as ls from s7",
+        "s7c": f"select *, list_transform(ls, lambda x, i: case when i > 1 and {rstrip('ls[i - 1]')} like '%-' then regexp_replace(x, '{opened}', '\\1') else x end) as shown from s7b",
+        "s8": f"select *, {join('shown')} as t7, regexp_replace({join('shown')}, '{_HYPHEN}', '\\1\\2', 'g') as t8_plain from s7c",
+        "s8b": f"select *, {t8} as t8 from s8",
+        "s9": f"select *, {flowing} as t9 from s8b",
+        "s10": f"select *, {spaced} || chr(10) as out from s9",
+    }
+    chain = ",\n".join(f"{name} as ({body})" for name, body in parts.items())
+    stats = f"""length(raw_text) as chars_in, length(out) as chars_out, page_markers_removed, headers_removed, page_numbers_removed, edge_garbage_removed, case when contains(t3, {FF}) then len(string_split(t3, {FF})) else 0 end as pages_processed,
+0 as leading_pages_dropped, 0 as duplicate_pages_removed, length(t5) - length(t6) as isolated_bars_removed, embedded_sections_split, len(list_filter(range(1, len(ls) + 1), lambda i: length(ls[i]) > length(shown[i]))) as inline_page_numbers_removed,
+len(every_line) - len(ls) as garbage_lines_removed, length(t4) - length(t5) as invisible_removed, {count('t7', _HYPHEN)} as hyphenations_joined, {lost} as replacement_chars"""
+    warning = f"case when {lost} > 0 then [{lost} || ' caractere(s) de substituição (' || chr(65533) || ') — revisar OCR'] else []::varchar[] end as warnings"
+    return f"with {chain}\nselect extraction_id, out as text, {stats}, {warning} from s10 union all select extraction_id, {', '.join(['null'] * 18)} from extraction_results where raw_text is null"
+
+
+SQL["clean_text"], SQL["clean_text_enhanced"] = _clean_text(False), _clean_text(True)

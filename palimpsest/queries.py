@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.similarity import seq_ratio
@@ -112,13 +113,11 @@ def best_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that bear the number of a cleaner page, and how similar they are to it."""
-    p = _pages(spark, sf_dir).withColumn("printed", cleanup.printed_number(F.col("page"))).filter("printed is not null")
-    best = best_pages(spark, sf_dir).filter("copies > 1").select("extraction_id", "printed", "best")
-    mine = p.join(best, ["extraction_id", "printed"])
-    kept = mine.filter("page_no = best").select("extraction_id", "printed", F.col("page").alias("best_page"))
-    pairs = mine.filter("page_no <> best").join(kept, ["extraction_id", "printed"])
-    return pairs.select("extraction_id", "page_no", "best", seq_ratio(fold(F.col("best_page")), fold(F.col("page"))).alias("similarity"))
+    """How similar each page is to the one before it in its text, and whether both bear the same printed number, as repeated scans do."""
+    order = Window.partitionBy("extraction_id").orderBy("page_no")
+    p = _pages(spark, sf_dir).withColumns({"folded": fold(F.col("page")), "printed": cleanup.printed_number(F.col("page"))})
+    both = p.select("extraction_id", "page_no", "folded", F.lag("folded").over(order).alias("before"), F.coalesce(F.col("printed") == F.lag("printed").over(order), F.lit(False)).alias("same_number"))
+    return both.filter("before is not null").select("extraction_id", "page_no", "same_number", seq_ratio(F.col("before"), F.col("folded")).alias("similarity"))
 
 
 def _step(name: str):
@@ -304,7 +303,7 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extractions cleaned as a file stream, each once."""
     source = f"{sf_dir}/extraction_results.parquet"
     like = spark.read.parquet(source)
-    base = f"{shared_dir(spark)}/stream-{abs(hash(source))}-{spark.sparkContext.startTime}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"  # every call reads the table as it is now
     stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").parquet(source if "part-" in "".join(like.inputFiles()) else f"{sf_dir}/extraction_results.parque[t]")
     incremental.clean_stream(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("extraction_id", F.col("structured_text").alias("text"))
