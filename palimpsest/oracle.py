@@ -245,3 +245,55 @@ len(every_line) - len(ls) as garbage_lines_removed, length(t4) - length(t5) as i
 
 
 SQL["clean_text"], SQL["clean_text_enhanced"] = _clean_text(False), _clean_text(True)
+
+
+def _enhanced_blocks(source: str, key: str) -> str:
+    """Enhanced structure of the texts (key, text) of ``source``, a row for each paragraph."""
+    bullet = rf"(?s)^[•●▪‣◦*]{S}*({NS}.*)$"
+    like = f"(length(p) <= 90 and regexp_matches(p, '{TOC}'))"
+    entry = f"(length(p) <= 90 or regexp_matches(p, '{ENTRY}'))"
+    deep = f"regexp_extract(p, '{NUMBERED}', 1)"
+    by = f"partition by {key} order by para_no"
+    parts = {
+        "ps": f"select {key}, unnest(range(len(ps)))::int as para_no, unnest(ps) as p from (select {key}, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '') as ps from ({source}))",
+        "takes": f"select *, not {like} and length(p) <= 90 and coalesce(regexp_matches(lead(p) over w, '{TAIL}'), false) as take, lead(p) over w as follower from ps window w as ({by})",
+        "merged": f"select {key}, row_number() over (partition by {key} order by para_no) - 1 as para_no, case when take then p || ' ' || follower else p end as p from (select *, coalesce(lag(take) over ({by}), false) as gone from takes) where not gone",
+        "folded": f"select *, {fold('p')} as f, {like} as likes, {entry} as entry, case when regexp_matches(p, '{bullet}') then regexp_extract(p, '{bullet}', 1) end as item from merged",
+        "facts": f"""select *, regexp_matches(f, '^(?:sumario|indice|conteudo|table of contents)(?:$| )') as marker, case when length(p) <= 90 and f in {_NAMED} then 1
+when length(p) between 8 and 70 and coalesce({count('p', chr(92) + 'p{Lu}')} / nullif({count('p', chr(92) + 'p{L}')}, 0)::double, 0) >= 0.75 and p not like '%.' and not contains(p, ';') and not regexp_matches(f, '{_COLOPHON}') then 1
+when regexp_matches(p, '{NUMBERED}') and length(p) <= 90 and regexp_matches(regexp_extract(p, '{NUMBERED}', 3), '\\p{{L}}') and p not like '%.' then least(length({deep}) - length(replace({deep}, '.', '')) + 2, 4) end as own,
+length(p) between 8 and 50 and regexp_matches(p, '^\\p{{Lu}}') and not regexp_matches(p, '[.!?:;,]$') and not regexp_matches(regexp_replace(p, '[¼½¾]', '', 'g'), '[\\p{{Nd}}\\p{{No}}]') and not regexp_matches(f, '{_COLOPHON}') and len(list_filter(regexp_split_to_array(p, '{S}+'), lambda x: x <> '')) between 2 and 8 as titled,
+likes and item is null and coalesce(lead(likes) over ({by}), false) and coalesce(lead(likes, 2) over ({by}), false) as triple from folded""",
+        "states": f"select *, coalesce(max(case when marker or (entry and triple) then para_no end) over w, -1) > coalesce(max(case when not marker and not entry then para_no end) over w, -1) as opened from facts window w as ({by} rows between unbounded preceding and 1 preceding)",
+        "levels": f"select *, item is not null and not opened as bullet, case when item is not null and not opened then null when marker then 1 when (opened or triple) and entry then 0 when opened or triple then null else own end as lvl, marker or (entry and (triple or opened)) as stays_open from states",
+        "around": f"select *, lag(lvl) over w as lvl0, lag(p) over w as p0, lag(case when bullet then item end) over w as item0, lead(p) over w as p1 from levels window w as ({by})",
+        "titles": "select *, coalesce(titled and not bullet and lvl is null and not stays_open and length(p1) >= 120 and case when item0 is not null then length(item0) + 2 >= 120 when lvl0 = 0 then length(p0) + 2 >= 120 when lvl0 > 0 then true else length(p0) >= 120 or p0 like '#%' end, false) as title_case from around",
+    }
+    chain = ", ".join(f"{name} as ({body})" for name, body in parts.items())
+    level = "(case when title_case then 2 else lvl end)"
+    return f"""with {chain} select {key}, para_no::int as para_no, case when bullet then 'list' when {level} = 0 then 'toc' when {level} > 0 then 'h' || {level} else 'prose' end as kind, title_case, coalesce({level} > 0, false) and regexp_matches(p, '{ROMAN}') as fixed,
+case when bullet then '- ' || item when {level} = 0 then '- ' || p when {level} > 0 then repeat('#', {level}::int) || ' ' || regexp_replace(p, '{ROMAN}', 'II. — ') else p end as rendered from titles"""
+
+
+SQL["structure_blocks_enhanced"] = _enhanced_blocks(_DOCS, "doc_id")
+
+
+def _clean_and_structure() -> str:
+    """Enhanced cleanup, then enhanced structure, with the report as JSON in the order of its fields."""
+    cleaned = "select * from clean"
+    blocks = _enhanced_blocks("select extraction_id, text from clean where text is not null", "extraction_id")
+    stats = ["chars_in", "chars_out", "page_markers_removed", "headers_removed", "page_numbers_removed", "edge_garbage_removed", "pages_processed", "leading_pages_dropped", "duplicate_pages_removed", "isolated_bars_removed", "embedded_sections_split", "inline_page_numbers_removed", "garbage_lines_removed", "invisible_removed", "hyphenations_joined", "replacement_chars"]
+    kinds = [("h1", "h1"), ("h2", "h2"), ("h3", "h3"), ("h4", "h4"), ("toc_entries", "toc"), ("prose", "prose"), ("title_case_headings", None), ("heading_ocr_corrections", None), ("list_items", "list")]
+    tallies = ", ".join(f"count_if(kind = '{k}') as {name}" if k else f"count_if({'title_case' if name == 'title_case_headings' else 'fixed'}) as {name}" for name, k in kinds)
+    cleanup = ", ".join(f"'{k}': c.{k}::bigint" for k in stats)
+    structure = ", ".join(f"'{k}': coalesce(s.{k}, 0)::bigint" for k, _ in kinds)
+    text = "coalesce(s.text || chr(10), '')"
+    return f"""with clean as materialized ({SQL['clean_text_enhanced']}), blocks as ({blocks}), s as (select extraction_id, string_agg(rendered, chr(10) || chr(10) order by para_no) as text, {tallies} from blocks group by 1)
+select c.extraction_id, case when c.text is not null then {text} end as text, case when c.text is null then '{{}}' else to_json({{'raw_sha256': sha256(e.raw_text), 'cleaned_sha256': sha256({text}), 'cleanup_stats': {{{cleanup}}}, 'cleanup_warnings': c.warnings, 'structure_stats': {{{structure}}}}})::varchar end as report
+from ({cleaned}) c join extraction_results e using (extraction_id) left join s using (extraction_id)"""
+
+
+SQL["clean_and_structure"] = _clean_and_structure()
+_PLAIN_BLOCKS = _BLOCKS.replace(_DOCS, "select extraction_id as doc_id, text from clean where text is not null")
+SQL["stream_clean"] = f"""with clean as materialized ({SQL['clean_text']}), blocks as ({_PLAIN_BLOCKS}), s as (select doc_id, string_agg(rendered, chr(10) || chr(10) order by para_no) as text from blocks group by 1)
+select c.extraction_id, case when c.text is not null then coalesce(s.text || chr(10), '') end as text from clean c left join s on s.doc_id = c.extraction_id"""
