@@ -85,6 +85,7 @@ _LINE_HINT = re.compile(r"[\dA-ZÀ-ÖØ-Ý][A-ZÀ-ÖØ-Ý]|\d")
 _DIGIT = re.compile(r"\d")
 _LOUD = re.compile(r"[A-ZÀ-ÖØ-Ý]{2}")
 _LINE = re.compile(r"\r\n|\n|\r")
+_BLANK_LINES = re.compile(r"\n[ \t]*\n+")
 
 
 def undone(text: str) -> str:
@@ -525,8 +526,8 @@ class Repairer:
 
 def paragraphs(body: str) -> str:
     """Lines joined to paragraphs at blank lines."""
-    own = ["\n".join(x.strip() for x in p.split("\n") if x.strip()) for p in re.split(r"\n[ \t]*\n+", body)]
-    return "\n\n".join(" ".join(p.split()) for p in own if p)
+    own = (" ".join(p.split()) for p in _BLANK_LINES.split(body))
+    return "\n\n".join(p for p in own if p)
 
 
 COUNTS = ("joined", "replaced", "headers", "numbers")
