@@ -7,8 +7,10 @@ sets reaches ``threshold`` and each set has at least ``min_shingles`` members.
 Plan: rows whose shingle sets are equal collapse to one representative first, so exact copies cost
 one sketch. Each representative keeps ``M`` SetSketch registers (truncated logarithms of the minima of
 exponential variables, mergeable by maximum). Bands of ``ROWS`` registers become 64-bit keys;
-representatives that share a key are candidates. The joint maximum-likelihood estimate over the
-counts of smaller, equal and larger registers, all ``M`` of them, removes chance candidates; exact sets decide the rest.
+representatives that share a key meet in a join. Texts that only share phrases meet by chance, more of them with the square
+of the rows, so every key brings two bits of ``SIGNED`` registers along, and a pair whose bits differ too often never
+leaves the join. The joint maximum-likelihood estimate over the counts of smaller, equal and larger
+registers, all ``M`` of them, removes further ones; exact sets decide the rest.
 
 Nulls and empty texts have no shingles and take part in no pair. Repeated ids count once. Any
 other columns of the input are ignored, whatever their names.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,10 @@ M, BASE, RATE, Q = 192, 1.001, 20.0, 62_000
 ROWS = 3
 #: Standard errors that an estimate may lie below the threshold before its pair is dropped unverified.
 SLACK = 5.0
+#: Registers whose two lowest bits go with every band key; bands joined at once, whose keys lie on disk at the same time.
+SIGNED, BANDS_A_ROUND = 128, 16
 
+_BITS = [f"bits_{k}" for k in range(SIGNED // 32)]
 _CUT = re.compile(r"[ \t\r\n\f]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,6 +127,18 @@ def registers(run: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(regs: np.ndarray) -> np.ndarray:
+    """The two lowest bits of the first ``SIGNED`` registers, as (sets, SIGNED / 32) words: all low bits, then all high bits."""
+    low = regs[:, :SIGNED]
+    return np.concatenate([np.packbits((low >> k & 1).astype(np.uint8), axis=1) for k in (0, 1)], axis=1).view(np.int64)
+
+
+def most_different(threshold: float) -> int:
+    """Signed registers that may differ in their bits at ``threshold``: unequal registers do in three of four cases."""
+    p = 0.75 * (1 - threshold)
+    return int(SIGNED * p + SLACK * np.sqrt(SIGNED * p * (1 - p)))
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Registers of the union of two sets."""
     return np.maximum(a, b)
@@ -154,7 +172,7 @@ def jaccard_by_likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, *, shingle: int, min_shingles: int) -> DataFrame:
-    """(id, n, set_hash, regs) of every row with at least ``min_shingles`` distinct shingles."""
+    """(id, n, set_hash, regs, bits) of every row with at least ``min_shingles`` distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -173,12 +191,12 @@ def sketch(df: DataFrame, id_col: str, text_col: str, *, shingle: int, min_shing
                 regs = registers(hashes, at)
                 whole = np.add.reduceat(_mix(hashes), at[:-1]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][big], type=pa.int64()), pa.array(n[big].astype(np.int32)), pa.array(whole), pa.array([r.tobytes() for r in regs], type=pa.binary())],
-                    names=["id", "n", "set_hash", "regs"],
+                    [pa.array(ids[lo:hi][big], type=pa.int64()), pa.array(n[big].astype(np.int32)), pa.array(whole), pa.array([r.tobytes() for r in regs], type=pa.binary()), *map(pa.array, signatures(regs).T.copy())],
+                    names=["id", "n", "set_hash", "regs", *_BITS],
                 )
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null and length(text) > 0")
-    return rows.mapInArrow(run, "id bigint, n int, set_hash bigint, regs binary")
+    return rows.mapInArrow(run, "id bigint, n int, set_hash bigint, regs binary" + "".join(f", {c} bigint" for c in _BITS))
 
 
 #: Band keys, sets of registers and texts that one task of a join should hold, about; more rows get more tasks.
@@ -200,20 +218,12 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, tables: Scratch, *, s
     if some:
         members = tables.table(rows.select("id", "set_hash", "n").join(classes, ["set_hash", "n"]).select("id", "rep", "copies"), "members", -(-n_rows // KEYS_A_TASK))
         single = members.filter("copies > 1 and id <> rep").select("id")
-        reps = rows.join(single, "id", "left_anti")
+        reps = tables.table(rows.join(broadcast_if_small(single, n_rows - n_sets), "id", "left_anti"), "reps", -(-n_rows // REGISTERS_A_TASK))
+        tables.drop("sketch")
     else:
         members, reps = rows.select("id", F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("copies")), rows
-    bands = M // ROWS
-    keyed = reps.select(
-        "id", "n", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), b -> xxhash64(b, substring(regs, b * {2 * ROWS} + 1, {2 * ROWS})))")).alias("key")
-    )
-    a, b = keyed.alias("a"), keyed.alias("b")
-    found = (
-        a.join(b, F.expr(f"a.key = b.key and a.id < b.id and a.n >= {threshold} * b.n and b.n >= {threshold} * a.n"))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
-    )
-    found = tables.table(found, "found", -(-n_sets * bands // KEYS_A_TASK))
+    found = tables.table(_met(tables, reps, n_sets, threshold).distinct(), "found")
+    tables.drop("round")
     # only sets with a candidate bring their registers along
     ends = _ends(tables, found, "found_ends")
     n_found, n_ends = found.count(), ends.count()
@@ -233,7 +243,7 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, tables: Scratch, *, s
             yield pa.RecordBatch.from_arrays([col["id_a"].filter(keep), col["id_b"].filter(keep)], names=["id_a", "id_b"])
 
     likely = tables.table(sketched.mapInArrow(estimate, "id_a bigint, id_b bigint"), "likely", -(-(n_found + n_ends) // REGISTERS_A_TASK))
-    for name in ("sketch", "found", "found_ends") if some else ("found", "found_ends"):
+    for name in ("reps", "found", "found_ends") if some else ("found", "found_ends"):
         tables.drop(name)
     ends = _ends(tables, likely, "ends")
     n_likely, n_ends = likely.count(), ends.count()
@@ -264,6 +274,20 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, tables: Scratch, *, s
     return tables.table(whole.mapInArrow(verify, "rep_a bigint, rep_b bigint, jaccard double"), "between", -(-(n_likely + n_ends) // TEXTS_A_TASK)), members
 
 
+def _met(tables: Scratch, reps: DataFrame, n_sets: int, threshold: float) -> DataFrame:
+    """(id_a, id_b) of the sets that share a band key and whose signed bits may belong to ``threshold``; a pair once a round of bands."""
+    bands, half = M // ROWS, len(_BITS) // 2
+    differ = " + ".join(f"bit_count((a.bits_{k} ^ b.bits_{k}) | (a.bits_{k + half} ^ b.bits_{k + half}))" for k in range(half))
+    rounds = []
+    for first in range(0, bands, BANDS_A_ROUND):
+        last = min(first + BANDS_A_ROUND, bands) - 1
+        key = f"transform(sequence({first}, {last}), b -> xxhash64(b, substring(regs, b * {2 * ROWS} + 1, {2 * ROWS})))"
+        keyed = reps.select("id", "n", *_BITS, F.explode(F.expr(key)).alias("key"))
+        both = keyed.alias("a").join(keyed.alias("b"), F.expr(f"a.key = b.key and a.id < b.id and a.n >= {threshold} * b.n and b.n >= {threshold} * a.n and {differ} <= {most_different(threshold)}"))
+        rounds.append(tables.table(both.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct(), "round", -(-n_sets * (last - first + 1) // KEYS_A_TASK)))
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def _ends(tables: Scratch, pairs: DataFrame, label: str) -> DataFrame:
     """The ids of pairs, once each."""
     return tables.table(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), label)
@@ -286,7 +310,10 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5
         m = lambda x: many.select(F.col("rep").alias(f"rep_{x}"), F.col("id").alias(f"id_{x}"))
         across = between.join(m("a"), "rep_a", "left").join(m("b"), "rep_b", "left").select(F.coalesce("id_a", "rep_a").alias("x"), F.coalesce("id_b", "rep_b").alias("y"), "jaccard")
         both = across.unionByName(copy_pairs(members).withColumn("jaccard", F.lit(1.0)))
-        return materialize(both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard"), "pairs")
+        pairs = both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
+        # a pair comes twice only where an id does: the pairs, which may be many more than the rows, are shuffled only then
+        once = members.groupBy("id").count().filter("count > 1").isEmpty()
+        return materialize(pairs if once else pairs.groupBy("id_a", "id_b").agg(F.max("jaccard").alias("jaccard")), "pairs")
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, threshold: float = 0.8, min_shingles: int = 1) -> DataFrame:

@@ -21,7 +21,7 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_text", shingle=3, threshold=0.5, min_shingles=30)
-    return pairs.select(F.col("id_a").alias("extraction_id_a"), F.col("id_b").alias("extraction_id_b")).distinct()
+    return pairs.select(F.col("id_a").alias("extraction_id_a"), F.col("id_b").alias("extraction_id_b"))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,15 +53,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: A step's shuffle files go as soon as it is written; else they lie on disk until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _written(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     spark, name = df.sparkSession, "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
+    before, cleaned = spark.conf.get(name), spark.conf.get(_CLEANUP, "false")
     if partitions and partitions > int(before):
         spark.conf.set(name, str(partitions))
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(name, before)
+        spark.conf.set(_CLEANUP, cleaned)
     return spark.read.schema(df.schema).parquet(path)
 
 

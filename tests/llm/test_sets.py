@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import os
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -61,6 +62,64 @@ def test_recall_of_bands():
     assert equal.mean() > 0.995
 
 
+def test_shared_phrases_make_few_candidates(spark, monkeypatch):
+    # texts that share stock sentences meet in some band by chance; few of them may leave the join
+    r = random.Random(11)
+    stock = [" ".join(f"s{k}_{j}" for j in range(12)) for k in range(10)]
+    rows = [(i, " ".join([*r.sample(stock, 3), *(f"w{i}_{j}" for j in range(60))])) for i in range(800)]
+    rows += [(1000 + i, rows[i][1].replace(f"w{i}_20", "outra")) for i in range(40)]
+    counts, made = {}, near_duplicates.Scratch.table
+
+    def counted(self, df, label, partitions=None):
+        out = made(self, df, label, partitions)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates.Scratch, "table", counted)
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    got = {(p.id_a, p.id_b) for p in near_duplicates.similar_pairs(df, "k", "t", shingle=3, threshold=0.5, min_shingles=30).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])} and len(got) >= 40
+    assert counts["found"] < 2_000  # of 352,380 pairs
+
+
+def test_signatures_keep_pairs_at_the_threshold():
+    r = np.random.default_rng(2)
+    n = 3000
+    core, rest = r.integers(0, 2**63, (n, 40), dtype=np.uint64), r.integers(0, 2**63, (2, n, 20), dtype=np.uint64)
+    a, b = (near_duplicates.signatures(near_duplicates.registers(np.concatenate([core, rest[k]], axis=1).ravel(), np.arange(n + 1) * 60)) for k in (0, 1))
+
+    def differ(x, y):
+        half = x.shape[1] // 2
+        x = x ^ y
+        return np.bitwise_count((x[:, :half] | x[:, half:]).view(np.uint64)).sum(axis=1)
+
+    limit = near_duplicates.most_different(0.5)
+    assert (differ(a, b) <= limit).all()
+    assert (differ(a[1:], b[:-1]) <= limit).mean() < 0.002  # strangers
+
+
+def test_pairs_come_once_where_ids_repeat(spark):
+    text = " ".join(f"w{j}" for j in range(40))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text + " fim"), (3, text), (3, text)], "k bigint, t string")
+    assert sorted((p.id_a, p.id_b) for p in near_duplicates.similar_pairs(df, "k", "t").collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before = files()
+    with near_duplicates.Scratch(spark) as tables:
+        tables.table(spark.range(100_000).groupBy((F.col("id") % 5000).alias("x")).count(), "step")
+        for _ in range(50):
+            if not files() - before:
+                break
+            time.sleep(0.2)
+        assert not files() - before
+
+
 def test_near_duplicates_empty(spark):
     assert near_duplicates.similar_pairs(spark.createDataFrame([], "k bigint, t string"), "k", "t").count() == 0
 
